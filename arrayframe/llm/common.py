@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +46,26 @@ def crc_remainder(col, modulus: int):
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, with this package sent to the executors first."""
+    _ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Sends the package's source to the executors once an application; they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="arrayframe-")) / "arrayframe_source.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)

@@ -5,21 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fingerprints, language_id, language_model, mixing, neardup, packing, repetition
 from .common import table
-from .neardup import components
-from .repetition import repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return mixed.select(
+        "doc_id", "source", "lang",
+        F.col("__mix_topic").alias("topic"), F.col("__mix_tokens").alias("n_tokens"),
+        F.col("__mix_probability").alias("probability"), F.col("__mix_drawn").alias("drawn"),
+    )
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repetition.repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents"), width=2)
+    return neardup.components(table(spark, sf_dir, "documents"), width=2)
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
 
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op2_mix_sources, op4_packing, op5_quality_rules, op6_document_fingerprints, op8_language_id, op9_minhash_near_dedup, op10_language_model)
+}
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_quality_rules, op9_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}

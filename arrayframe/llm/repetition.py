@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import in_batches
 
 #: Words that a repeat must have to count, the most of the text's words that such repeats may cover, and the words and the share of the text at which one repeat is too long.
 MIN_REPEAT, MAX_COVERED, LONG_WORDS, LONG_SHARE = 15, 0.15, 40, 0.10
@@ -178,7 +179,7 @@ def repetition(docs: DataFrame, keys: list[str] | None = None, text: str = "text
     keys = ["doc_id"] if keys is None else keys
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), *(f"{m} bigint" for m in MEASURES)])
     base, kept = verdict()
-    return docs.select(*(F.col(f"`{k}`") for k in keys), F.col(text).alias("__text")).mapInArrow(_measured, schema).withColumn("base_failed", base).withColumn("kept", kept)
+    return in_batches(docs.select(*(F.col(f"`{k}`") for k in keys), F.col(text).alias("__text")), _measured, schema).withColumn("base_failed", base).withColumn("kept", kept)
 
 
 def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,4 +193,4 @@ def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The rows whose text passes; all columns stay as they are."""
-    return docs.mapInArrow(_filtered, docs.schema)
+    return in_batches(docs, _filtered, docs.schema)
