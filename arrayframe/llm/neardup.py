@@ -6,13 +6,13 @@ k + u, and a text stops as soon as all slots are filled, for later steps cannot
 be smaller. Ranks within one element are correlated, so estimates vary less
 than plain MinHash. Texts with one set form a class; only classes are banded.
 
-Within a band's bucket no pairs are listed. Its members are first compared with
-one hub, the member that shares most buckets with others. What remains in
-several components of a bucket is compared across components, in blocks of
-bounded size, first on 8-bit signatures (estimate 0.65 or more), then on full
-sets. So every pair that shares a bucket is linked, in one component already,
-or tested. Pairs at the limit of 0.8 share a bucket with a chance of
-1 - (1 - 0.8**5)**40, all but 1.3e-7.
+A bucket's members are first compared with one hub, the member that shares most
+buckets with others. What a bucket still holds in several components is
+compared across components on full sets: a bucket of up to ``LARGE`` members
+pair by pair; larger buckets that share components form groups, in which a
+block of members meets a block of members. So every pair that shares a bucket is
+in one component already, or tested. Pairs at the limit of 0.8 share a bucket
+with a chance of 1 - (1 - 0.8**5)**40, all but 1.3e-7.
 
 Classes are named by 64 bits of a 128-bit set digest. Texts without a shingle
 (null, empty, no words) are linked with nothing: their component is their own
@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import partitions_for, stored
+from .common import in_batches, partitions_for, stored
 
 BANDS, ROWS = 40, 5
 SLOTS = BANDS * ROWS
-#: Members of one (hub, block) in verification, and sizes of the two sides of a block of cross comparisons.
-MEMBERS, MINOR, MAJOR = 64, 128, 512
-ESTIMATE = 0.65
+#: Members of one (hub, block) in verification, and sizes of the two sides of a block in a large bucket's group.
+MEMBERS, MINOR, MAJOR = 64, 256, 512
+#: Members up to which a bucket's pairs across components are listed.
+LARGE = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -110,7 +111,7 @@ def superminhash(el: np.ndarray, ptr: np.ndarray, slots: int = SLOTS) -> np.ndar
 
 
 def signatures(column: pa.Array, width: int) -> dict[str, np.ndarray]:
-    out: dict[str, list] = {"n": [], "node": [], "node2": [], "sig": [], "bands": []}
+    out: dict[str, list] = {"n": [], "node": [], "node2": [], "bands": []}
     salt = tokens.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD)
     for chunk in tokens.chunks(column, 1 << 19):
         el, ptr = shingle_sets(chunk, width)
@@ -122,7 +123,6 @@ def signatures(column: pa.Array, width: int) -> dict[str, np.ndarray]:
         out["n"].append(np.diff(ptr))
         out["node"].append(tokens.sums(tokens.mix(el ^ np.uint64(0x243F6A8885A308D3)), ptr).view(np.int64))
         out["node2"].append(tokens.sums(tokens.mix(el ^ np.uint64(0x13198A2E03707344)), ptr).view(np.int64))
-        out["sig"].append((tokens.mix(sig) & np.uint64(0xFF)).astype(np.uint8))
         out["bands"].append(bands.view(np.int64))
     return {k: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for k, v in out.items()}
 
@@ -134,9 +134,8 @@ def _signed(width: int):
                 batch = whole.slice(at, 2000)
                 got = signatures(batch.column(batch.schema.get_field_index("text")), width)
                 n = batch.num_rows
-                sig = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * SLOTS).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(got["sig"]))])
                 bands = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * BANDS).astype(np.int32)), pa.array(got["bands"].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("row_key")), pa.array(got["n"].astype(np.int64)), pa.array(got["node"]), pa.array(got["node2"]), sig, bands], names=["doc_id", "row_key", "n_shingles", "node", "node2", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("row_key")), pa.array(got["n"].astype(np.int64)), pa.array(got["node"]), pa.array(got["node2"]), bands], names=["doc_id", "row_key", "n_shingles", "node", "node2", "bands"])
 
     return run
 
@@ -167,49 +166,85 @@ def _verified(width: int):
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, hub) of rows whose two signatures s and t agree in the estimate's share of slots."""
-    for batch in batches:
-        s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SLOTS) for c in ("s", "t"))
-        near = pa.array((s == t).mean(axis=1) >= ESTIMATE) if len(s) else pa.array([], pa.bool_())
-        yield batch.select(["u", "hub"]).filter(near)
+def _links(minor: list[tuple], major: list[tuple]) -> tuple[list[int], list[int]]:
+    """Pairs of other components with full sets at the limit or above; rows are (node, comp, set).
 
+    Intersections are products of 0/1 rows over the elements that both sides hold.
+    """
+    us, vs = [], []
+    mine = np.concatenate([x[2] for x in minor])
+    held = np.unique(mine)
+    theirs = np.concatenate([x[2] for x in major])
+    place = np.searchsorted(held, theirs)
+    place[place == len(held)] = 0
+    hit = held[place] == theirs
+    columns, column = np.unique(place[hit], return_inverse=True)
+    left = np.zeros((len(minor), len(columns)), dtype=np.float32)
+    right = np.zeros((len(major), len(columns)), dtype=np.float32)
+    sizes = [np.array([len(x[2]) for x in side]) for side in (minor, major)]
+    right[np.repeat(np.arange(len(major)), sizes[1])[hit], column] = 1
+    at = np.searchsorted(columns, np.searchsorted(held, mine))
+    at[at == len(columns)] = 0
+    if len(columns):
+        there = columns[at] == np.searchsorted(held, mine)
+        left[np.repeat(np.arange(len(minor)), sizes[0])[there], at[there]] = 1
+    both = np.rint(left @ right.T).astype(np.int64)
+    comps = [np.array([x[1] for x in side], dtype=np.int64) for side in (minor, major)]
+    x, y = np.nonzero((100 * both >= 80 * (sizes[0][:, None] + sizes[1][None, :] - both)) & (comps[0][:, None] != comps[1][None, :]))
+    # one link from a node to a component is enough
+    _, first = np.unique(np.stack([x, comps[1][y]], axis=1), axis=0, return_index=True)
+    for i in first:
+        us.append(minor[x[i]][0])
+        vs.append(major[y[i]][0])
+    return us, vs
+
+
+def _split(rows: list[tuple], most: int = 200_000) -> Iterator[list[tuple]]:
+    """Runs of ``rows`` whose sets hold about ``most`` elements, 256 rows at the most."""
+    part, n = [], 0
+    for r in rows:
+        if part and (n + len(r[2]) > most or len(part) == 256):
+            yield part
+            part, n = [], 0
+        part.append(r)
+        n += len(r[2])
+    if part:
+        yield part
+
+
+def _crossed(width: int):
+    """Streams rows sorted by (group, i, j, side), the minor side first; yields links across components."""
 
-def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams rows sorted by (bucket, i, j), the minor side first; yields pairs of other components that look similar."""
-    key, minor = None, []
-    arrays: tuple = ()
-    for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "bucket", "i", "j", "side", "node", "comp", "n_shingles")]
-        sig = np.frombuffer(batch.column("sig").buffers()[2], dtype=np.uint8)
-        first = np.frombuffer(batch.column("sig").buffers()[1], dtype=np.int32)[batch.column("sig").offset]
-        sig = sig[first : first + batch.num_rows * SLOTS].reshape(-1, SLOTS)
-        keys = np.stack(cols[:4], axis=1)
-        edge = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1 if len(keys) else np.zeros(0, dtype=np.int64)
-        us, vs = [], []
-        for lo, hi in zip([0, *edge], [*edge, len(keys)], strict=True):
-            if lo == hi:
-                continue
-            if (now := tuple(keys[lo])) != key:
-                key, minor, arrays = now, [], ()
-            cut = lo + int(np.searchsorted(cols[4][lo:hi], 1))
-            if cut > lo:
-                minor.append(slice(lo, cut))
-                part = (cols[5][lo:cut], cols[6][lo:cut], cols[7][lo:cut], sig[lo:cut].copy())
-                arrays = part if not arrays else tuple(np.concatenate(x) for x in zip(arrays, part, strict=True))
-            if cut == hi or not arrays:
-                continue
-            for a in range(0, len(arrays[0]), 16):
-                node, comp, n, s = (x[a : a + 16] for x in arrays)
-                like = (s[:, None, :] == sig[None, cut:hi, :]).mean(axis=2)
-                big, small = np.maximum(n[:, None], cols[7][None, cut:hi]), np.minimum(n[:, None], cols[7][None, cut:hi])
-                x, y = np.nonzero((like >= ESTIMATE) & (comp[:, None] != cols[6][None, cut:hi]) & (100 * small >= 80 * big))
-                p, q = node[x], cols[5][cut:hi][y]
-                us.append(np.minimum(p, q))
-                vs.append(np.maximum(p, q))
-        u, v = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (us, vs))
-        pairs = np.unique(np.stack([u, v], axis=1), axis=0) if len(u) else np.zeros((0, 2), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, minor = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j")), strict=True))
+            side, node, comp = (batch.column(c).to_pylist() for c in ("side", "node", "comp"))
+            us: list[int] = []
+            vs: list[int] = []
+            major: list[tuple] = []
+
+            def test(major=major, us=us, vs=vs) -> None:
+                for a in _split(minor):
+                    for b in _split(major):
+                        u, v = _links(a, b)
+                        us += u
+                        vs += v
+                major.clear()
+
+            for chunk in tokens.chunks(batch.column("text")):
+                el, ptr = shingle_sets(chunk, width)
+                for r in range(chunk.first, chunk.last):
+                    if keys[r] != key:
+                        test()
+                        key, minor[:] = keys[r], []
+                    mine = el[ptr[r - chunk.first] : ptr[r - chunk.first + 1]].copy()
+                    if len(mine):
+                        (major if side[r] else minor).append((node[r], comp[r], mine))
+            test()
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +273,7 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     rest, each round written to the shared folder; rounds grow with the
     logarithm of the component size, and nothing but a checksum reaches the driver.
     """
-    now = stored(edges.select("u", "v").mapInArrow(_forest, "u bigint, v bigint"), name)
+    now = stored(in_batches(edges.select("u", "v"), _forest, "u bigint, v bigint"), name)
     before = None
     while True:
         # large star: neighbours above the node go to its smallest neighbour
@@ -266,21 +301,17 @@ def _similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) ->
     roles = placed.unionByName(hubs).join(reps.select("node", "row_key"), "node")
     with_text = docs.select("row_key", "text").join(roles, "row_key")
     n = partitions_for(spark)
-    return (
-        with_text.select("hub", "block", "is_hub", "node", "text")
-        .repartition(n, "hub", "block")
-        .sortWithinPartitions("hub", "block", F.desc("is_hub"))
-        .mapInArrow(_verified(width), "u bigint, v bigint")
-    )
+    dealt = with_text.select("hub", "block", "is_hub", "node", "text").repartition(n, "hub", "block")
+    return in_batches(dealt.sortWithinPartitions("hub", "block", F.desc("is_hub")), _verified(width), "u bigint, v bigint")
 
 
 def components(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text), linked at a similarity of 0.8 or more."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    signed = stored(keyed.mapInArrow(_signed(width), "doc_id bigint, row_key bigint, n_shingles bigint, node bigint, node2 bigint, sig binary, bands array<bigint>"), "signatures")
+    signed = stored(in_batches(keyed, _signed(width), "doc_id bigint, row_key bigint, n_shingles bigint, node bigint, node2 bigint, bands array<bigint>"), "signatures")
     # one row stands for its class; its text is found again by row_key
     picked = signed.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    reps = stored(signed.drop("node").join(picked, "row_key").dropDuplicates(["node"]).select("node", "row_key", "n_shingles", "sig", "bands"), "classes")
+    reps = stored(signed.drop("node").join(picked, "row_key").dropDuplicates(["node"]).select("node", "row_key", "bands"), "classes")
     whole = _linked(signed, reps, keyed, width)
 
     least = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -300,35 +331,45 @@ def _linked(signed: DataFrame, reps: DataFrame, keyed: DataFrame, width: int) ->
     reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
     ranked = shared.join(reach, "node").select("band", "bucket", "node", F.struct("reach", "node").alias("rank"))
     hubs = ranked.groupBy("band", "bucket").agg(F.max("rank").alias("rank")).select("band", "bucket", F.col("rank.node").alias("hub"))
-    first = stored(shared.join(hubs, ["band", "bucket"]).where("node <> hub").select(F.col("node").alias("u"), "hub").distinct(), "hub-pairs")
-    looks = first.join(reps.select(F.col("node").alias("u"), F.col("sig").alias("s"), F.col("n_shingles").alias("n")), "u").join(reps.select(F.col("node").alias("hub"), F.col("sig").alias("t"), F.col("n_shingles").alias("k")), "hub")
-    near = stored(looks.where(100 * F.least("n", "k") >= 80 * F.greatest("n", "k")).mapInArrow(_alike, "u bigint, hub bigint"), "near-pairs")
-    edges = stored(_similar(near, reps, keyed, width), "hub-links")
+    starred = shared.join(hubs, ["band", "bucket"]).where("node <> hub")
+    first = stored(starred.select(F.col("node").alias("u"), "hub").distinct(), "hub-pairs")
+    edges = stored(_similar(first, reps, keyed, width), "hub-links")
     comp = stored(connected(edges), "hub-components")
 
     # what one bucket still holds in several components is compared across them
-    members = shared.join(comp, "node", "left").select("band", "bucket", "size", "node", F.coalesce("comp", "node").alias("comp"))
-    parts = members.groupBy("band", "bucket", "comp").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("band", "bucket").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("total"), F.count("*").alias("parts")).where("parts > 1").select("band", "bucket", F.col("main.comp").alias("main"), F.ceil((F.col("total") - F.col("main.c")) / MINOR).cast("int").alias("is"), F.ceil(F.col("total") / MAJOR).cast("int").alias("js"))
-    rows = members.join(mixed, ["band", "bucket"])
-    minor = rows.where("comp <> main").select("band", "bucket", "node", "comp", F.pmod(F.xxhash64("node"), F.col("is")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), F.lit(0).alias("side"))
-    major = rows.select("band", "bucket", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("js")).cast("int").alias("j"), F.lit(1).alias("side"))
+    members = stored(shared.join(comp, "node", "left").select("band", "bucket", "size", "node", F.coalesce("comp", "node").alias("comp")), "bucket-members")
+    mixed = members.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "bucket")
+    mixed = stored(members.join(mixed, ["band", "bucket"]), "mixed-buckets")
+
+    # large buckets: what they join is one group, all pairs of which are tested, a block against a block
+    large = mixed.where(F.col("size") > LARGE)
+    hub_of = large.groupBy("band", "bucket").agg(F.min("comp").alias("hub"))
+    across = large.join(hub_of, ["band", "bucket"]).where("comp <> hub").select(F.col("comp").alias("u"), F.col("hub").alias("v")).distinct()
+    joined = stored(connected(across).select(F.col("node").alias("comp"), F.col("comp").alias("group")), "groups")
+    grouped = stored(large.select("node", "comp").distinct().join(joined, "comp"), "group-members")
+    parts = grouped.groupBy("group", "comp").agg(F.count("*").alias("c"))
+    plan = parts.groupBy("group").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("total")).select("group", F.col("main.comp").alias("main"), F.ceil((F.col("total") - F.col("main.c")) / MINOR).cast("int").alias("is"), F.ceil(F.col("total") / MAJOR).cast("int").alias("js"))
+    rows = grouped.join(plan, "group")
+    minor = rows.where("comp <> main").select("group", "node", "comp", F.pmod(F.xxhash64("node"), F.col("is")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), F.lit(0).alias("side"))
+    major = rows.select("group", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("js")).cast("int").alias("j"), F.lit(1).alias("side"))
     n = partitions_for(keyed.sparkSession)
-    seen = stored(
-        minor.unionByName(major).join(reps.select("node", "n_shingles", "sig"), "node")
-        .repartition(n, "band", "bucket", "i", "j")
-        .sortWithinPartitions("band", "bucket", "i", "j", "side")
-        .mapInArrow(_crossed, "u bigint, v bigint")
-        .distinct(),
-        "cross-pairs",
-    )
-    tested = seen.join(first.select(F.least("u", "hub").alias("u"), F.greatest("u", "hub").alias("v")), ["u", "v"], "left_anti")
+    placed = minor.unionByName(major).join(reps.select("node", "row_key"), "node")
+    dealt = keyed.select("row_key", "text").join(placed, "row_key").select("group", "i", "j", "side", "node", "comp", "text").repartition(n, "group", "i", "j")
+    far = in_batches(dealt.sortWithinPartitions("group", "i", "j", "side"), _crossed(width), "u bigint, v bigint")
+
+    # small buckets: their pairs, but for those tested above or before
+    of = grouped.select("node", "group")
+    small = mixed.where(F.col("size") <= LARGE).join(of, "node", "left").select("band", "bucket", "node", "comp", F.coalesce("group", "node").alias("group"))
+    a, b = small.alias("a"), small.alias("b")
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("a.group") != F.col("b.group")))
+    seen = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    tested = stored(seen.join(first.select(F.least("u", "hub").alias("u"), F.greatest("u", "hub").alias("v")), ["u", "v"], "left_anti"), "small-pairs")
     # the end that is in more pairs serves as the hub, so that its text moves once a block
     degree = tested.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
     sided = tested.join(degree.select(F.col("node").alias("u"), F.col("d").alias("du")), "u").join(degree.select(F.col("node").alias("v"), F.col("d").alias("dv")), "v")
     swap = F.col("du") > F.col("dv")
     rest = _similar(sided.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("hub")), reps, keyed, width)
-    return stored(connected(comp.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(rest)), "components")
+    return stored(connected(comp.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(rest).unionByName(far)), "components")
 
 
 def first_of_groups(docs: DataFrame, width: int = 5) -> DataFrame:
