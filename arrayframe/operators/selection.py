@@ -58,12 +58,10 @@ class Selection:
         return replace(self, accuracy=(error, norm, relative))
 
     def clear(self, *names: str) -> Selection:
+        """Without the named parts: box, block, steps, memory or accuracy."""
         blank = Selection()
-        changed = {n: getattr(blank, n) for n in names}
-        if "start" in changed or "box" in names:
-            changed |= {"start": (), "count": ()}
-        changed.pop("box", None)
-        return replace(self, **changed)
+        fields = {f for n in names for f in (("start", "count") if n == "box" else (n,))}
+        return replace(self, **{f: getattr(blank, f) for f in fields})
 
     def __str__(self) -> str:
         parts = [f"box start {list(self.start)} count {list(self.count)}" if self.count else "all"]

@@ -20,7 +20,7 @@ def _part(name: str, expression: str, sql: str, digits: int | None = 6) -> None:
         return frame.select("d0", (F.round(value, digits) if digits is not None else value).alias("value"))
 
     run.__name__ = name
-    query(f"SELECT d0, {f'round({sql}, {digits})' if digits is not None else sql} AS value FROM {PART}")(run)
+    query(f"SELECT d0, {f'round({sql}, {digits}) + 0.0' if digits is not None else sql} AS value FROM {PART}")(run)
 
 
 _part("d_add", "p_retailprice + p_size", "p_retailprice + p_size")
@@ -41,7 +41,7 @@ _part("d_nary", "add(p_size, p_size, p_retailprice, 3)", "p_size + p_size + p_re
 _part("d_precedence", "-p_retailprice ^ 2 + 2 * p_size ** 2", "-(p_retailprice * p_retailprice) + 2 * p_size * p_size")
 
 
-@query(f"SELECT step, d0, round(sum(CAST(value AS DOUBLE)), 6) AS value FROM {EMB} GROUP BY step, d0")
+@query(f"SELECT step, d0, round(sum(CAST(value AS DOUBLE)), 6) + 0.0 AS value FROM {EMB} GROUP BY step, d0")
 def d_sum_lastdim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(emb2d(spark, sf_dir), "sum(value)", ["d0", "d1"]).withColumn("value", F.round("value", 6))
 
@@ -54,7 +54,7 @@ def d_mag_lastdim(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CROSS = f"(SELECT d0, d1, d2, [f2 * f2 - f3 * f1, f1 * f2 - f3 * f3, f1 * f1 - f2 * f3] AS v FROM {ORD})"
 
 
-@query(f"SELECT d0, d1, d2, CAST(i AS BIGINT) AS comp, round(v[i + 1] / 1e6, 4) AS value FROM {_CROSS}, range(0, 3) AS t(i)")
+@query(f"SELECT d0, d1, d2, CAST(i AS BIGINT) AS comp, round(v[i + 1] / 1e6, 4) + 0.0 AS value FROM {_CROSS}, range(0, 3) AS t(i)")
 def d_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a = (f1, f2, f3), b = (f3, f1, f2), the middle component with the sign of the expression language
     return derive(ord3d(spark, sf_dir), "cross(f1, f2, f3, f3, f1, f2)", D3).select(*D3, "comp", F.round(F.col("value") / 1e6, 4).alias("value"))
@@ -75,7 +75,7 @@ def _curl_sql(source: str, within: str) -> str:
 _CURL = _curl_sql(ORD, "step, block_id")
 
 
-@query(f"SELECT d0, d1, d2, CAST(i AS BIGINT) AS comp, round(v[i + 1], 4) AS value FROM {_CURL}, range(0, 3) AS t(i)")
+@query(f"SELECT d0, d1, d2, CAST(i AS BIGINT) AS comp, round(v[i + 1], 4) + 0.0 AS value FROM {_CURL}, range(0, 3) AS t(i)")
 def d_curl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(ord3d(spark, sf_dir), "curl(f1, f2, f3)", D3, keys=("step", "block_id")).select(*D3, "comp", F.round("value", 4).alias("value"))
 
@@ -83,7 +83,7 @@ def d_curl(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IN = "d0 >= {0} AND d0 < {1} AND d1 >= {0} AND d1 < {1} AND d2 >= {0} AND d2 < {1}"
 
 
-@query(f"SELECT d0, d1, d2, round(v[1], 4) AS c0, round(v[2], 4) AS c1, round(v[3], 4) AS c2 FROM {_curl_sql(f'(SELECT * FROM {ORD} WHERE {_IN.format(2, 7)})', 'step')} WHERE {_IN.format(3, 6)}")
+@query(f"SELECT d0, d1, d2, round(v[1], 4) + 0.0 AS c0, round(v[2], 4) + 0.0 AS c1, round(v[3], 4) + 0.0 AS c2 FROM {_curl_sql(f'(SELECT * FROM {ORD} WHERE {_IN.format(2, 7)})', 'step')} WHERE {_IN.format(3, 6)}")
 def d_curl_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curl_box(ord3d(spark, sf_dir), D3, ["f1", "f2", "f3"], ["step"], [3, 3, 3], [3, 3, 3])
     return out.select(*D3, *(F.round(F.get("__v", i), 4).alias(f"c{i}") for i in range(3)))

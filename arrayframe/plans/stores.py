@@ -102,7 +102,7 @@ def reorganize_4x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reorganize(ord3d(spark, sf_dir), ["d1", "d2"], [10, 10], [4, 2]).select("d0", "d1", "d2", "f1", "block_id")
 
 
-@query(f"SELECT step, d0, value FROM {EV} WHERE step < 4 UNION ALL SELECT step + 4, d0, value * 2 FROM {EV} WHERE step < 2")
+@query(f"SELECT step, d0, value FROM {EV} WHERE step < 4 UNION ALL SELECT step + (SELECT least(4, count(DISTINCT step)) FROM {EV}), d0, value * 2 FROM {EV} WHERE step < 2")
 def append_after_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = ev1d(spark, sf_dir).select("step", "d0", "value")
     return steps.append_after(cells, cells.where("step < 2").withColumn("value", F.col("value") * 2), 4)
