@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, layout, stats, steps
-from ..sources import campaign, timeseries
-from ..sources.catalog import attributes_of_variables
+from ..operators import codecs, compare, layout, stats, steps
+from ..operators.boxes import linear_index
+from ..sources import campaign, profiles, timeseries
+from ..sources.catalog import attributes_of_variables, current_attributes
 from ..streaming import policies
 from .registry import query
 from .views import EV, ORD, PERTURBED, ev1d, ord3d, perturbed, table
@@ -179,3 +180,50 @@ def stream_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     for_each_step(source, run, f"{base}/state").awaitTermination()
     parts = spark.read.parquet(f"{base}/out").drop("batch")
     return parts.groupBy(F.col("step").cast("long").alias("step")).agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
+@query(f"SELECT step, round(max(abs(q - value)), 6) AS max_error, round(sqrt(avg((q - value) * (q - value))), 6) AS rms_error FROM (SELECT step, value, round(value / 0.5) * 0.5 AS q FROM {EV}) GROUP BY step")
+def codec_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = ev1d(spark, sf_dir).select("step", "d0", "value")
+    kept = codecs.reduce_columns(cells, {"value": [codecs.Operation("zfp", {"accuracy": "0.25"})]})
+    return codecs.provided_error(cells, kept, ["step", "d0"], ["step"]).select("step", F.round("max_error", 6).alias("max_error"), F.round("rms_error", 6).alias("rms_error"))
+
+
+@query("SELECT 'k' AS name, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS DOUBLE)) AS total, min(CAST(json_extract(props, '$.k') AS DOUBLE)) AS least, max(CAST(json_extract(props, '$.k') AS DOUBLE)) AS most FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.summary(profiles.timings(table(spark, sf_dir, "events"), "props", "user_id"))
+
+
+@query(f"SELECT d0, d1, d2, d0 * 100 + d1 * 10 + d2 AS row_major, d0 + (SELECT max(d0) + 1 FROM {ORD}) * (d1 + 10 * d2) AS column_major FROM {ORD}")
+def linear_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = ord3d(spark, sf_dir)
+    extent = cells.agg((F.max("d0") + 1).alias("extent"))
+    dims = [F.col(d) for d in ("d0", "d1", "d2")]
+    columns = F.col("d0") + F.col("extent") * (F.col("d1") + 10 * F.col("d2"))
+    return cells.crossJoin(F.broadcast(extent)).select("d0", "d1", "d2", linear_index(dims, [0, 10, 10]).alias("row_major"), columns.alias("column_major"))
+
+
+@query(f"SELECT step, d0, value FROM (SELECT *, dense_rank() OVER (ORDER BY step) - 1 AS relative FROM {EV} WHERE step % 2 = 1) WHERE relative >= 1 AND relative < 3")
+def relative_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.relative_steps(ev1d(spark, sf_dir).where("step % 2 = 1"), 1, 2).select("step", "d0", "value")
+
+
+@query("SELECT event_type AS name, arg_max(CAST(value AS VARCHAR), event_id) AS value FROM events GROUP BY event_type")
+def attribute_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes modified step after step: the last value of each stays."""
+    events = table(spark, sf_dir, "events")
+    rows = events.select(F.col("event_type").alias("name"), F.lit("double").alias("type"), F.lit(1).alias("elements"), F.array(F.col("value").cast("string")).alias("value"), F.lit(True).alias("single"), F.col("event_id").alias("step"))
+    return current_attributes(rows).select("name", F.get("value", 0).alias("value"))
+
+
+@query(f"SELECT step, d0, value FROM {EV} WHERE d0 >= 200 AND d0 < 900 AND NOT (d0 >= 350 AND d0 < 600)")
+def box_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cached box is cut out of the wanted one: the rest is read box by box."""
+    from functools import reduce
+
+    from ..operators.boxes import subtract
+    from ..operators.selection import Selection
+
+    cells = ev1d(spark, sf_dir)
+    parts = [Selection.bounding_box(s, c).apply(cells, ["d0"]) for s, c in subtract(((200,), (700,)), ((350,), (250,)))]
+    return reduce(DataFrame.unionByName, parts).select("step", "d0", "value")

@@ -143,3 +143,21 @@ def test_stream_of_steps(spark, tmp_path):
     source = stream(spark, path, spark.read.parquet(path).schema)
     for_each_step(source, lambda f, b: seen.append(sorted({r.step for r in f.select("step").distinct().collect()})), f"file://{tmp_path}/state").awaitTermination()
     assert sorted(s for x in seen for s in x) == [0, 1, 2, 3] and all(len(x) == 1 for x in seen)
+
+
+def test_codecs(spark):
+    from arrayframe.operators import codecs
+
+    frame = cells(spark).withColumn("i", F.col("d0").cast("int")).withColumn("v", F.col("v") * 1.37)
+    op = codecs.Operation
+    lossy = codecs.reduce_columns(frame, {"v": [op("sz", {"accuracy": "0.3"})], "i": [op("sz", {"accuracy": "0.3"})]})
+    assert codecs.provided_error(frame, lossy, ["step", "d0"], [], "v").first().max_error <= 0.3 and lossy.select("i").exceptAll(frame.select("i")).count() == 0
+    relative = codecs.reduce_columns(frame, {"v": [op("mgard", {"tolerance": "0.01", "mode": "REL"})]})
+    both = frame.join(relative.select("step", "d0", F.col("v").alias("w")), ["step", "d0"])
+    assert both.where(F.abs(F.col("v") - F.col("w")) > 0.0101 * F.abs(F.col("v"))).count() == 0
+    assert read_all(codecs.reduce_columns(frame, {"v": [op("bzip2"), op("null")]})) == read_all(frame) and codecs.parquet_codec({"v": [op("blosc")]}) == "lz4"
+    codecs.register_codec("halve", lambda s: s / 2)
+    assert codecs.reduce_columns(frame, {"v": [op("halve")]}).agg(F.sum("v")).first()[0] == pytest.approx(frame.agg(F.sum("v")).first()[0] / 2)
+    for bad in (op("zfp", {"accuracy": "1", "rate": "2"}), op("zfp"), op("caesar"), op("nothing")):
+        with pytest.raises(codecs.CodecError):
+            codecs.reduce_columns(frame, {"v": [bad]})
