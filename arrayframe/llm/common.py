@@ -48,9 +48,16 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch where the session has Spark's own default: a batch of whole texts is held on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)``, with this package sent to the executors first."""
-    _ship(df.sparkSession)
+    spark = df.sparkSession
+    _ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 

@@ -60,8 +60,8 @@ def successors(docs: DataFrame, ranges: int) -> DataFrame:
     firsts = rows.groupBy("range").agg(F.max("sid").alias("sid"))
     firsts = stored(rows.select("range", "sid", "tie").join(F.broadcast(firsts), ["range", "sid"]).groupBy("range", "sid").agg(F.min("tie").alias("tie")), "range-firsts")
     order = Window.orderBy(F.desc("range"))  # a row for each range
-    last = firsts.agg(F.min("range").alias("end"))
-    before = firsts.select("range", "sid", "tie", F.lag("range").over(order).alias("before")).crossJoin(F.broadcast(last)).select("range", "sid", "tie", F.coalesce("before", "end").alias("to"))
+    last = firsts.agg(F.min("range")).scalar()
+    before = firsts.select("range", "sid", "tie", F.coalesce(F.lag("range").over(order), last).alias("to"))
     marked = rows.join(F.broadcast(before), ["range", "sid", "tie"], "left")
     canon = canonical(F.col("text"))
     high, low = digest(canon)

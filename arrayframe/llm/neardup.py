@@ -39,6 +39,8 @@ SLOTS = BANDS * ROWS
 MEMBERS, MINOR, MAJOR = 64, 256, 512
 #: Members up to which a bucket's pairs across components are listed.
 LARGE = 64
+#: Nodes that a union-find holds before it hands on its forest.
+FOREST = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -199,11 +201,11 @@ def _links(minor: list[tuple], major: list[tuple]) -> tuple[list[int], list[int]
     return us, vs
 
 
-def _split(rows: list[tuple], most: int = 200_000) -> Iterator[list[tuple]]:
-    """Runs of ``rows`` whose sets hold about ``most`` elements, 256 rows at the most."""
+def _split(rows: list[tuple], most: int = 50_000) -> Iterator[list[tuple]]:
+    """Runs of ``rows`` whose sets hold about ``most`` elements, 64 rows at the most: they bound the products' size."""
     part, n = [], 0
     for r in rows:
-        if part and (n + len(r[2]) > most or len(part) == 256):
+        if part and (n + len(r[2]) > most or len(part) == 64):
             yield part
             part, n = [], 0
         part.append(r)
@@ -248,28 +250,35 @@ def _crossed(width: int):
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one partition's edges, a batch at a time: at most one edge a node remains."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """Union-find over a partition's edges, ``FOREST`` nodes at a time: at most one edge a node remains."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = p
+        return x
 
-        def find(x: int, parent=parent) -> int:
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = parent[p]
-                x = p
-            return x
+    def edges() -> pa.RecordBatch:
+        nodes = [x for x in parent if find(x) != x]
+        out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["u", "v"])
+        parent.clear()
+        return out
 
+    for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(u), find(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        nodes = [x for x in parent if find(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["u", "v"])
+        if len(parent) >= FOREST:
+            yield edges()
+    yield edges()
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, comp): for each node of ``edges`` (u, v) the smallest node it reaches.
 
-    Union-find within batches, then alternating star contractions over the
+    Union-find within partitions, then alternating star contractions over the
     rest, each round written to the shared folder; rounds grow with the
     logarithm of the component size, and nothing but a checksum reaches the driver.
     """

@@ -63,4 +63,17 @@ QUERIES: dict[str, Query] = {
     for f in (op1_license_scans, op2_mix_sources, op3_html_extraction, op4_packing, op5_quality_rules, op6_document_fingerprints, op7_warc, op8_language_id, op9_minhash_near_dedup, op10_language_model)
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Prefixes of the rarest shingles give all pairs that can reach the limit; links are then counted in full.
+_NEAR = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT doc_id, hash(s) AS s FROM (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY f, s) AS place, n FROM sh JOIN n USING (doc_id) JOIN (SELECT s, count(*) AS f FROM sh GROUP BY s) USING (s)),
+prefix AS (SELECT doc_id, s FROM ranked WHERE 100 * place <= 20 * n + 100),
+candidates AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM prefix a JOIN prefix b ON a.s = b.s AND a.doc_id < b.doc_id),
+links AS (SELECT x, y FROM candidates JOIN sh a ON a.doc_id = x JOIN sh b ON b.doc_id = y AND a.s = b.s JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y GROUP BY x, y, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM reach r JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)"""
+_WARC = """SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> max(page_id) OVER same THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> max(page_id) OVER same THEN max(page_id) OVER same END AS refers_to FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))"""
+#: Models, trained scores, tokenisers and Spark's hashes are beyond SQL.
+ORACLES: dict[str, str] = {"op7_warc": _WARC, "op9_minhash_near_dedup": _NEAR}
