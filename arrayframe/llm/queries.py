@@ -35,7 +35,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repetition.repetition(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("longest_repeat")
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,16 @@ candidates AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM prefix a JOIN p
 links AS (SELECT x, y FROM candidates JOIN sh a ON a.doc_id = x JOIN sh b ON b.doc_id = y AND a.s = b.s JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y GROUP BY x, y, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM reach r JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) l ON r.y = l.x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)"""
+#: A repeat of n words exists where a window of n words is found twice, so windows of the rules' lengths stand for suffix arrays.
+_REPEATS = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+base AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols FROM w),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+sizes AS (SELECT doc_id, w, unnest([5, 15, greatest(40, len(w) // 10 + 1)]) AS size, unnest(['n_repeat_words', 'covered_words', 'long']) AS kind FROM w),
+windows AS (SELECT doc_id, kind, size, i, hash(array_to_string(w[i : i + size - 1], ' ')) AS h FROM (SELECT doc_id, kind, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM sizes)),
+found AS (SELECT doc_id, kind, size, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, kind, h) > 1),
+cover AS (SELECT doc_id, kind, count(*) AS words FROM (SELECT DISTINCT doc_id, kind, i + k AS word FROM (SELECT doc_id, kind, i, unnest(range(0, size)) AS k FROM found WHERE kind <> 'long')) GROUP BY ALL),
+a AS (SELECT b.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(r.words, 0) AS n_repeat_words, coalesce(c.words, 0) AS covered_words, EXISTS (SELECT 1 FROM found f WHERE f.kind = 'long' AND f.doc_id = b.doc_id) AS long FROM base b LEFT JOIN lines USING (doc_id) LEFT JOIN cover r ON r.doc_id = b.doc_id AND r.kind = 'n_repeat_words' LEFT JOIN cover c ON c.doc_id = b.doc_id AND c.kind = 'covered_words')
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT long AND NOT 100 * covered_words > 15 * n_words AS kept FROM a"""
 _WARC = """SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> max(page_id) OVER same THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> max(page_id) OVER same THEN max(page_id) OVER same END AS refers_to FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))"""
 #: Models, trained scores, tokenisers and Spark's hashes are beyond SQL.
-ORACLES: dict[str, str] = {"op7_warc": _WARC, "op9_minhash_near_dedup": _NEAR}
+ORACLES: dict[str, str] = {"op5_quality_rules": _REPEATS, "op7_warc": _WARC, "op9_minhash_near_dedup": _NEAR}

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import in_batches
 
-#: Words that a repeat must have to count, the most of the text's words that such repeats may cover, and the words and the share of the text at which one repeat is too long.
-MIN_REPEAT, MAX_COVERED, LONG_WORDS, LONG_SHARE = 15, 0.15, 40, 0.10
+#: Words that a repeat must have to count, the most per cent of the text's words that such repeats may cover, and the words and the per cent of the text at which one repeat is too long.
+MIN_REPEAT, COVERED_PERCENT, LONG_WORDS, LONG_PERCENT = 15, 15, 40, 10
 WINDOW = 5
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -169,8 +169,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verdict(min_words: int = 10, max_repeat_percent: int = 20) -> tuple:
     """Columns base_failed and kept over the measures."""
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    long = (F.col("longest_repeat") >= LONG_WORDS) & (F.col("longest_repeat") > LONG_SHARE * F.col("n_words"))
-    wide = F.col("covered_words") > MAX_COVERED * F.col("n_words")
+    long = (F.col("longest_repeat") >= LONG_WORDS) & (100 * F.col("longest_repeat") > LONG_PERCENT * F.col("n_words"))
+    wide = 100 * F.col("covered_words") > COVERED_PERCENT * F.col("n_words")
     return base, ~base & ~long & ~wide
 
 
@@ -187,8 +187,8 @@ def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = measure(batch.column(batch.schema.get_field_index("text")))
         words = got["n_words"]
         base = (words < 10) | (100 * got["n_repeat_words"] > 20 * words)
-        long = (got["longest_repeat"] >= LONG_WORDS) & (got["longest_repeat"] > LONG_SHARE * words)
-        yield batch.filter(pa.array(~base & ~long & ~(got["covered_words"] > MAX_COVERED * words)))
+        long = (got["longest_repeat"] >= LONG_WORDS) & (100 * got["longest_repeat"] > LONG_PERCENT * words)
+        yield batch.filter(pa.array(~base & ~long & ~(100 * got["covered_words"] > COVERED_PERCENT * words)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
