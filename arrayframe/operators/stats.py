@@ -74,9 +74,8 @@ def sub_block_stats(cells: DataFrame, dims: Sequence[str], counts: Sequence[int]
 def histogram(cells: DataFrame, slice_: str, value: str, bins: int) -> DataFrame:
     """Equal-width counts of each slice between the overall extremes; the largest value is in the last bin.
 
-    The extremes are one row; a constant variable falls into bin 0.
+    The extremes are scalar subqueries; a constant variable falls into bin 0.
     """
-    ends = cells.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    place = F.when(F.col("hi") <= F.col("lo"), 0).otherwise(F.least(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(bins - 1)))
-    return cells.crossJoin(F.broadcast(ends)).withColumn("bin", place.cast("long")).groupBy(slice_, "bin").agg(F.count("*").alias("n"))
+    lo, hi = cells.agg(F.min(value)).scalar(), cells.agg(F.max(value)).scalar()
+    place = F.when(hi <= lo, 0).otherwise(F.least(F.floor(F.try_divide(F.col(value) - lo, (hi - lo) / bins)), F.lit(bins - 1)))
+    return cells.withColumn("bin", place.cast("long")).groupBy(slice_, "bin").agg(F.count("*").alias("n"))

@@ -74,11 +74,11 @@ def relative_steps(frame: DataFrame, start: int, count: int, step: str = "step")
 def append_after(kept: DataFrame, added: DataFrame, n: int, step: str = "step") -> DataFrame:
     """``kept``'s first ``n`` steps (from the end where negative), then ``added``'s steps numbered on."""
     steps = step_map(kept, step)
-    total = steps.agg(F.count("*").alias("total"))
-    bounded = steps.crossJoin(F.broadcast(total)).withColumn("limit", F.greatest(F.lit(0), F.col("total") + n + 1) if n < 0 else F.least(F.col("total"), F.lit(n)))
-    old = kept.join(bounded.where(F.col("relative") < F.col("limit")).select(step), step, "left_semi")
-    base = old.agg((F.coalesce(F.max(step), F.lit(-1)) + 1).alias("__base"))
-    new = added.join(step_map(added, step), step).crossJoin(F.broadcast(base)).withColumn(step, F.col("__base") + F.col("relative")).select(*kept.columns)
+    total = steps.agg(F.count("*")).scalar()
+    limit = F.greatest(F.lit(0), total + n + 1) if n < 0 else F.least(total, F.lit(n))
+    old = kept.join(steps.where(F.col("relative") < limit).select(step), step, "left_semi")
+    base = old.agg(F.coalesce(F.max(step), F.lit(-1)) + 1).scalar()
+    new = added.join(step_map(added, step), step).withColumn(step, base + F.col("relative")).select(*kept.columns)
     return old.unionByName(new)
 
 

@@ -197,10 +197,10 @@ def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT d0, d1, d2, d0 * 100 + d1 * 10 + d2 AS row_major, d0 + (SELECT max(d0) + 1 FROM {ORD}) * (d1 + 10 * d2) AS column_major FROM {ORD}")
 def linear_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = ord3d(spark, sf_dir)
-    extent = cells.agg((F.max("d0") + 1).alias("extent"))
+    extent = cells.agg(F.max("d0") + 1).scalar()
     dims = [F.col(d) for d in ("d0", "d1", "d2")]
-    columns = F.col("d0") + F.col("extent") * (F.col("d1") + 10 * F.col("d2"))
-    return cells.crossJoin(F.broadcast(extent)).select("d0", "d1", "d2", linear_index(dims, [0, 10, 10]).alias("row_major"), columns.alias("column_major"))
+    columns = F.col("d0") + extent * (F.col("d1") + 10 * F.col("d2"))
+    return cells.select("d0", "d1", "d2", linear_index(dims, [0, 10, 10]).alias("row_major"), columns.alias("column_major"))
 
 
 @query(f"SELECT step, d0, value FROM (SELECT *, dense_rank() OVER (ORDER BY step) - 1 AS relative FROM {EV} WHERE step % 2 = 1) WHERE relative >= 1 AND relative < 3")

@@ -17,7 +17,7 @@ def round_robin(frame: DataFrame, readers: int, reader: int, step: str = "step")
 
 def latest(frame: DataFrame, step: str = "step") -> DataFrame:
     """Only the newest step."""
-    return frame.join(F.broadcast(frame.agg(F.max(step).alias(step))), step, "left_semi")
+    return frame.where(F.col(step) == frame.agg(F.max(step)).scalar())
 
 
 def queued(frame: DataFrame, limit: int, readers: bool = True, first_precious: bool = False, step: str = "step") -> DataFrame:
