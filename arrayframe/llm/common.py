@@ -32,9 +32,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what ``stored`` has written so far; results that still read it must have been written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _kept:
+        path = hadoop.Path(_kept.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,3 +29,12 @@ def test_stage_edges(spark, edge, empty, small, stage):
 def test_registration():
     names = set(driver.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_release(spark):
+    from arrayframe.llm.common import release, stored
+
+    frame = stored(spark.range(3), "test")
+    path = frame.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    release(spark)
+    assert not __import__("os").path.exists(path)
