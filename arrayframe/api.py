@@ -37,6 +37,12 @@ class Variable:
     def set_shape(self, shape: Sequence[int]) -> None:
         self.shape = change(self.shape, shape, self.kind, self.constant)
 
+    def selection(self) -> Selection:
+        """What the variable's own start and count select: all of it where it has none."""
+        if not self.count:
+            return Selection()
+        return Selection().with_box(self.start or (0,) * len(self.count), self.count)
+
 
 @dataclass
 class IO:

@@ -16,6 +16,8 @@ from .parser import Call, Expression, ExpressionError, Name, Number, parse, vari
 from .stencil import curl_components
 
 REDUCERS, RESHAPERS = ("add", "magnitude"), ("cross", "cross_std", "curl")
+#: The column that numbers the component planes of an array of vectors.
+COMPONENT = "comp"
 
 
 @dataclass(frozen=True)
@@ -143,10 +145,15 @@ def _reshaped(frame: DataFrame, tree: Call, dims: Sequence[str], name: str, keys
     kind = _real(args, strict)
     fields = [_cast(a, kind) for a in args]
     if tree.function == "curl":
-        if len(fields) == 1:
-            raise ExpressionError("curl of one array: give its components as three columns")
         within = list(dict.fromkeys([*keys, *block]))
-        parts = frame.select(*within, *dims, *(f.alias(f"__f{i}") for i, f in enumerate(fields)))
+        if len(fields) == 1:
+            # one array of three component planes: the planes side by side
+            if COMPONENT not in frame.columns:
+                raise ExpressionError(f"curl of one array needs its component in a column {COMPONENT}")
+            plane = frame.select(*within, *dims, COMPONENT, fields[0].alias("__f"))
+            parts = plane.groupBy(*within, *dims).agg(*(F.max(F.when(F.col(COMPONENT) == i, F.col("__f"))).alias(f"__f{i}") for i in range(3)))
+        else:
+            parts = frame.select(*within, *dims, *(f.alias(f"__f{i}") for i, f in enumerate(fields)))
         comps = curl_components(parts, dims, ["__f0", "__f1", "__f2"], within)
     else:
         ax, ay, az, bx, by, bz = fields

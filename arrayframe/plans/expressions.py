@@ -100,3 +100,10 @@ def d_stats_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.derived import store
 
     return store(part1d(spark, sf_dir), "p_retailprice * 2", ["d0"], kind="stats").select(F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
+
+
+@query(f"SELECT d0, d1, d2, CAST(i AS BIGINT) AS comp, round(v[i + 1], 4) + 0.0 AS value FROM {_CURL}, range(0, 3) AS t(i)")
+def d_curl_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curl of one array whose component planes are numbered."""
+    planes = ord3d(spark, sf_dir).select("step", "block_id", *D3, F.posexplode(F.array("f1", "f2", "f3")).alias("comp", "v"))
+    return derive(planes, "curl(v)", D3, keys=("step", "block_id")).select(*D3, "comp", F.round("value", 4).alias("value"))

@@ -77,9 +77,8 @@ def write(frame: DataFrame, path: str, engine: str = "parquet", mode: str = "wri
         for s in steps[keep:]:
             fs.delete(hadoop.Path(f"{path}/step={s}"), True)
         mode = "append"
-    out = frame.repartition("step", *order[:1]) if order else frame.repartition("step")
-    if order:
-        out = out.sortWithinPartitions("step", *order)
+    # ranges of the first index within a step: few files a step, and each file's extremes cover a strip
+    out = frame.repartitionByRange("step", order[0]).sortWithinPartitions("step", *order) if order else frame.hint("rebalance", "step")
     out.write.mode({"write": "overwrite", "append": "append"}[mode]).partitionBy("step").parquet(path)
 
 

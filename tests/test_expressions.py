@@ -91,6 +91,15 @@ def test_curl_box_equals_the_whole(spark):
         assert r["__v"] == pytest.approx([whole[r.d0, r.d1, r.d2, k] for k in range(3)])
 
 
+def test_curl_of_one_array(spark):
+    dims, frame = ["d0", "d1", "d2"], grid(spark)
+    planes = frame.select("step", "block_id", *dims, F.posexplode(F.array("f1", "f2", "f3")).alias("comp", "v"))
+    of = lambda x: sorted((r.d0, r.d1, r.d2, r.comp, r.value) for r in x.collect())
+    assert of(derive(planes, "curl(v)", dims)) == of(derive(frame, "curl(f1, f2, f3)", dims))
+    with pytest.raises(ExpressionError):
+        derive(frame, "curl(f1)", dims)
+
+
 def test_curl_on_a_flat_axis_is_nan(spark):
     got = derive(grid(spark, 1, 3, 3), "curl(f1, f2, f3)", ["d0", "d1", "d2"])
     assert all(math.isnan(r.value) == (r.comp != 0) for r in got.collect())

@@ -111,6 +111,7 @@ def test_definitions(spark):
     for bad in (lambda: io.define_variable("v", "int32"), lambda: io.define_derived_variable("d", "v + w"), lambda: io.define_derived_variable("v", "v + 1")):
         with pytest.raises(api.DefinitionError):
             bad()
+    assert str(io.variables["v"].selection()) == "Selection(box start [0] count [5])"
     assert io.inquire_variable("v", "int32") is None and io.inquire_variable("v", "double").kind is ShapeKind.GLOBAL_ARRAY
     io.define_attribute("unit", "m", variable="v")
     with pytest.raises(api.DefinitionError):
