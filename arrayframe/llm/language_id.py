@@ -36,6 +36,8 @@ BUCKETS, SIZE, EPOCHS, STEPS, BATCH, RATE = 1 << 15, 8, 6, 500, 32, 4.0
 #: Share of rightly labelled sample texts that calibration lets be rejected.
 REJECTED = 0.002
 UNKNOWN = "und"
+#: Bytes whose subwords are scored at once.
+CHUNK_BYTES = 1 << 18
 _LETTER = np.full(256, 0x20, dtype=np.uint32)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[65:91] = np.arange(97, 123)
@@ -74,7 +76,7 @@ class Model:
 
     def probabilities(self, column: pa.Array) -> np.ndarray:
         out = []
-        for chunk in tokens.chunks(column):
+        for chunk in tokens.chunks(column, CHUNK_BYTES):
             at, row = subwords(chunk)
             rows = chunk.last - chunk.first
             count = np.maximum(1, np.bincount(row, minlength=rows))

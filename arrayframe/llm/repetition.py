@@ -28,6 +28,8 @@ from .common import in_batches
 #: Words that a repeat must have to count, the most per cent of the text's words that such repeats may cover, and the words and the per cent of the text at which one repeat is too long.
 MIN_REPEAT, COVERED_PERCENT, LONG_WORDS, LONG_PERCENT = 15, 15, 40, 10
 WINDOW = 5
+#: Bytes whose suffixes are sorted at once.
+CHUNK_BYTES = 1 << 19
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
@@ -133,7 +135,7 @@ def _duplicate_lines(chunk: tokens.Chunk, word_hash: np.ndarray) -> np.ndarray:
 def measure(column: pa.Array) -> dict[str, np.ndarray]:
     """The measures of each text of the column."""
     parts: dict[str, list[np.ndarray]] = {k: [] for k in MEASURES}
-    for chunk in tokens.chunks(column):
+    for chunk in tokens.chunks(column, CHUNK_BYTES):
         ptr, rows = chunk.word_ptr, chunk.last - chunk.first
         word_hash = chunk.hashes(fold=False)
         n = len(word_hash)
