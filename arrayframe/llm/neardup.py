@@ -39,8 +39,8 @@ SLOTS = BANDS * ROWS
 MEMBERS, MINOR, MAJOR = 64, 256, 512
 #: Members up to which a bucket's pairs across components are listed.
 LARGE = 64
-#: Nodes that a union-find holds before it hands on its forest.
-FOREST = 100_000
+#: Nodes that a union-find holds before it hands on its forest, and counted edges up to which one task joins all forests.
+FOREST, ONE_TASK = 100_000, 10_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -278,11 +278,28 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, comp): for each node of ``edges`` (u, v) the smallest node it reaches.
 
-    Union-find within partitions, then alternating star contractions over the
-    rest, each round written to the shared folder; rounds grow with the
-    logarithm of the component size, and nothing but a checksum reaches the driver.
+    Union-find within partitions; what remains, if it is counted to be small, is
+    joined by one task, and else goes through alternating star contractions,
+    each round written to the shared folder. Rounds grow with the logarithm of
+    the component size, and nothing but a checksum reaches the driver.
     """
     now = stored(in_batches(edges.select("u", "v"), _forest, "u bigint, v bigint"), name)
+    if now.count() <= ONE_TASK:
+        return stored(in_batches(now.coalesce(1), _labels, "node bigint, comp bigint"), name)
+    return _contracted(now, name)
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of all nodes of a few edges that one partition holds."""
+    edges = [e for b in batches for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    (forest,) = _forest(iter([pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])]))
+    comp = dict(zip(forest.column(0).to_pylist(), forest.column(1).to_pylist(), strict=True))
+    comp |= {c: c for c in comp.values()}
+    yield pa.RecordBatch.from_arrays([pa.array(list(comp), pa.int64()), pa.array(list(comp.values()), pa.int64())], names=["node", "comp"])
+
+
+def _contracted(now: DataFrame, name: str) -> DataFrame:
+    """Star contractions until nothing changes."""
     before = None
     while True:
         # large star: neighbours above the node go to its smallest neighbour

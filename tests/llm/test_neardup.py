@@ -35,9 +35,10 @@ def test_edges(edge, empty):
     assert N.first_of_groups(edge).columns == edge.columns
 
 
-@pytest.mark.parametrize("large", [64, 3])
-def test_star_of_near_copies(spark, monkeypatch, large):
+@pytest.mark.parametrize(("large", "one_task"), [(64, 10_000), (3, 0)])
+def test_star_of_near_copies(spark, monkeypatch, large, one_task):
     """Copies that resemble their source more than each other, over all ways of comparison."""
+    monkeypatch.setattr(N, "ONE_TASK", one_task)
     monkeypatch.setattr(N, "LARGE", large)
     monkeypatch.setattr(N, "MINOR", 8)
     monkeypatch.setattr(N, "MAJOR", 16)
@@ -69,7 +70,9 @@ def test_signature_of_few_elements_is_full():
     assert (sig[0] == 2**64 - 1).all() and (np.sort(sig[1] >> np.uint64(32)) == np.arange(N.SLOTS)).all()
 
 
-def test_connected_chain(spark):
+@pytest.mark.parametrize("one_task", [10_000, 0])
+def test_connected_chain(spark, monkeypatch, one_task):
+    monkeypatch.setattr(N, "ONE_TASK", one_task)
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (300, 200)]
     got = {r.node: r.comp for r in N.connected(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
