@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.derived import derive
 from .functions.parser import parse, variables
+from .operators.layout import quantize
 from .operators.selection import Selection
 from .operators.stats import block_stats, merge_stats
 from .shapes import ShapeKind, change, infer
@@ -127,12 +128,17 @@ class FileReader:
         self.derived[name] = expression
 
     def read(self, name: str, selection: Selection = Selection()) -> DataFrame:  # noqa: B008 - immutable
-        """step, index and value of the selected cells."""
+        """step, index and value of the selected cells, within the selection's accuracy if it asks for one."""
         if name in self.derived:
-            return selection.apply(derive(self.cells, self.derived[name], self.dims, "value", ("step", "block_id")), self.dims)
-        if name not in self.variables():
+            out = selection.apply(derive(self.cells, self.derived[name], self.dims, "value", ("step", "block_id")), self.dims)
+        elif name in self.variables():
+            out = selection.apply(self.cells.select("step", "block_id", *self.dims, F.col(name).alias("value")), self.dims)
+        else:
             raise DefinitionError(f"no variable {name}")
-        return selection.apply(self.cells.select("step", "block_id", *self.dims, F.col(name).alias("value")), self.dims)
+        if selection.accuracy is not None and selection.accuracy[0] > 0:
+            error, _, relative = selection.accuracy
+            out = out.withColumn("value", quantize(F.col("value").cast("double"), error, F.abs("value") if relative else None))
+        return out
 
     def num_steps(self) -> int:
         return self.cells.select("step").distinct().count()

@@ -112,9 +112,24 @@ def from_dump(start: Sequence[int], count: Sequence[int], shape: Sequence[int])
     return out.with_box(begin[1:], size[1:]).check(shape[1:]) if len(shape) > 1 else out
 
 
+def memory_buffer(cells: DataFrame, selection: Selection, dims: Sequence[str], fill: float = 0.0, value: str = "value") -> DataFrame:
+    """The selection's memory box for each step: (step, m0, m1, ..., value), with ``fill`` around the selected cells.
+
+    The grid is made of the steps and index ranges alone; cells are joined to it.
+    """
+    if not selection.count or selection.memory is None:
+        raise SelectionError("a buffer needs a box and a memory box")
+    offset, size = selection.memory
+    grid = cells.select("step").distinct()
+    for i, n in enumerate(size):
+        grid = grid.withColumn(f"m{i}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    names = [f"m{i}" for i in range(len(size))]
+    moved = [(F.col(d) - s + o).alias(m) for d, s, o, m in zip(dims, selection.start, offset, names, strict=True)]
+    inside = selection.apply(cells, dims).select("step", *moved, value)
+    return grid.join(inside, ["step", *names], "left").select("step", *names, F.coalesce(value, F.lit(fill)).alias(value))
+
+
 def ghost_cells(cells: DataFrame, selection: Selection, dim: str, before: int, after: int, fill: float = 0.0, value: str = "value") -> DataFrame:
-    """A padded one-dimensional buffer (step, m0, value) for each step: the box with ``before`` and ``after`` cells of ``fill``."""
-    (s,), (c,) = selection.start, selection.count
-    grid = cells.select("step").distinct().select("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(before + c + after - 1).cast("long"))).alias("m0"))
-    inside = selection.apply(cells, [dim]).select("step", (F.col(dim) - s + before).alias("m0"), value)
-    return grid.join(inside, ["step", "m0"], "left").select("step", "m0", F.coalesce(value, F.lit(fill)).alias(value))
+    """A one-dimensional box with ``before`` and ``after`` cells of ``fill`` at its ends."""
+    (count,) = selection.count
+    return memory_buffer(cells, selection.with_memory([before], [before + count + after]), [dim], fill, value)

@@ -79,3 +79,8 @@ def histogram(cells: DataFrame, slice_: str, value: str, bins: int) -> DataFrame
     lo, hi = cells.agg(F.min(value)).scalar(), cells.agg(F.max(value)).scalar()
     place = F.when(hi <= lo, 0).otherwise(F.least(F.floor(F.try_divide(F.col(value) - lo, (hi - lo) / bins)), F.lit(bins - 1)))
     return cells.withColumn("bin", place.cast("long")).groupBy(slice_, "bin").agg(F.count("*").alias("n"))
+
+
+def moments(cells: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Count, average and standard deviation (of the population) of each group."""
+    return cells.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("avg"), F.stddev_pop(value).alias("std_dev"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import predicates, stats, steps
 from ..operators.boxes import match_blocks
 from ..operators.predicates import CompositeQuery, Leaf, RangeQuery, Tree
-from ..operators.selection import Selection, from_dump, ghost_cells
+from ..operators.selection import Selection, from_dump, ghost_cells, memory_buffer
 from ..types import TYPES
 from .registry import query
 from .views import EV, ORD, ev1d, ord3d, table
@@ -251,3 +251,15 @@ def histogram_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT step FROM (SELECT step, lag(step) OVER (ORDER BY step) AS previous FROM (SELECT DISTINCT step FROM {EV} WHERE step % 4 <> 2)) WHERE step <> previous + 1")
 def step_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.step_gaps(ev1d(spark, sf_dir).where("step % 4 <> 2")).select("step")
+
+
+@query(f"SELECT step, count(*) AS n, round(avg(value), 6) AS avg, round(stddev_pop(value), 6) AS std_dev FROM {EV} GROUP BY step")
+def var_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.moments(ev1d(spark, sf_dir), ["step"]).select("step", "n", F.round("avg", 6).alias("avg"), F.round("std_dev", 6).alias("std_dev"))
+
+
+@query(f"SELECT CAST(0 AS BIGINT) AS step, g.m0, g.m1, g.m2, coalesce(f1, -1.0) AS f1 FROM (SELECT a.m0, b.m1, c.m2 FROM range(0, 4) AS a(m0), range(0, 5) AS b(m1), range(0, 3) AS c(m2)) g LEFT JOIN (SELECT d0 - 1 + 1 AS m0, d1 - 4 + 1 AS m1, d2 AS m2, f1 FROM {ORD} WHERE d0 >= 1 AND d0 < 3 AND d1 >= 4 AND d1 < 7 AND d2 < 3) o ON o.m0 = g.m0 AND o.m1 = g.m1 AND o.m2 = g.m2")
+def memory_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of 2 x 3 x 3 in a buffer of 4 x 5 x 3."""
+    wanted = Selection.bounding_box([1, 4, 0], [2, 3, 3]).with_memory([1, 1, 0], [4, 5, 3])
+    return memory_buffer(ord3d(spark, sf_dir), wanted, D3, -1.0, "f1")

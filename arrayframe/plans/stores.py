@@ -227,3 +227,16 @@ def box_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = ev1d(spark, sf_dir)
     parts = [Selection.bounding_box(s, c).apply(cells, ["d0"]) for s, c in subtract(((200,), (700,)), ((350,), (250,)))]
     return reduce(DataFrame.unionByName, parts).select("step", "d0", "value")
+
+
+@query("SELECT 'world/' || r_name AS name, r_regionkey AS id FROM region UNION ALL SELECT 'lands/' || n_name, n_nationkey FROM nation")
+def campaign_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("id"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("id"))
+    return campaign.namespace({"world": regions, "lands": nations})
+
+
+@query(f"SELECT step, d0, value FROM {EV} WHERE step IN (0, 2, 5)")
+def sst_ondemand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0), (5, 1)], "step bigint, reader int")
+    return policies.distribute(ev1d(spark, sf_dir), "OnDemand", 2, 1, asked).select("step", "d0", "value")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,12 @@ def best_replica(replicas: DataFrame, dataset: str, rank: Column, tie: str) -> D
     return replicas.groupBy(dataset).agg(best).select(dataset, *(f"b.{c}" for c in rest))
 
 
+def namespace(variables: dict[str, DataFrame], separator: str = "/") -> DataFrame:
+    """The variables (name, ...) of all datasets, each name behind its dataset's."""
+    parts = [frame.withColumn("name", F.concat(F.lit(dataset + separator), "name")) for dataset, frame in variables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 @dataclass
 class Campaign:
     spark: SparkSession

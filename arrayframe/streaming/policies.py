@@ -15,6 +15,17 @@ def round_robin(frame: DataFrame, readers: int, reader: int, step: str = "step")
     return frame.where(F.col(step) % readers == reader)
 
 
+def distribute(frame: DataFrame, mode: str, readers: int, reader: int, schedule: DataFrame | None = None, step: str = "step") -> DataFrame:
+    """The steps that ``reader`` gets: all of them, its turns, or those that ``schedule`` (step, reader) says it asked for."""
+    if mode == "AllToAll":
+        return frame
+    if mode == "RoundRobin":
+        return round_robin(frame, readers, reader, step)
+    if mode == "OnDemand" and schedule is not None:
+        return frame.join(schedule.where(F.col("reader") == reader).select(step), step, "left_semi")
+    raise ValueError(f"no such distribution: {mode}")
+
+
 def latest(frame: DataFrame, step: str = "step") -> DataFrame:
     """Only the newest step."""
     return frame.where(F.col(step) == frame.agg(F.max(step)).scalar())

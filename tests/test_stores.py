@@ -162,3 +162,20 @@ def test_codecs(spark):
     for bad in (op("zfp", {"accuracy": "1", "rate": "2"}), op("zfp"), op("caesar"), op("nothing")):
         with pytest.raises(codecs.CodecError):
             codecs.reduce_columns(frame, {"v": [bad]})
+
+
+def test_accuracy_of_reads(spark, tmp_path):
+    path = f"file://{tmp_path}/f"
+    engines.write(cells(spark).withColumn("v", F.col("v") * 1.1), path, order=("d0",))
+    reader = api.FileReader(spark, path, ["d0"])
+    exact = {(r.step, r.d0): r.value for r in reader.read("v").collect()}
+    near = reader.read("v", Selection().with_accuracy(0.4)).collect()
+    assert all(abs(r.value - exact[r.step, r.d0]) <= 0.4 + 1e-9 for r in near) and any(r.value != exact[r.step, r.d0] for r in near)
+
+
+def test_formula_source(spark):
+    from arrayframe.sources import formula
+
+    formula.register(spark)
+    frame = spark.read.format("arrayformula").options(shape="7,3", steps="2", blocks="3").load()
+    assert sorted(tuple(r) for r in frame.collect()) == sorted((s, min(i // 2, 2), i, j, 1000.0 * s + 3 * i + j) for s in range(2) for i in range(7) for j in range(3))
