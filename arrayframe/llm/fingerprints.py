@@ -52,17 +52,17 @@ def _range(bounds: list[int]) -> Column:
 
 def successors(docs: DataFrame, ranges: int) -> DataFrame:
     """doc_id, text, high, low of each row with next_text, next_high and next_low of its successor."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sid", F.coalesce("doc_id", F.lit(_LEAST))).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sid", F.coalesce("doc_id", F.lit(_LEAST))).withColumn("tie", F.xxhash64("text"))
     count = 1 << max(0, (ranges - 1).bit_length())
     bounds = rows.agg(F.percentile_approx("sid", [i / count for i in range(1, count)] or [0.5], F.lit(10000))).first()[0] if count > 1 else []
     rows = rows.withColumn("range", _range(list(bounds or []) if bounds else []))
     # descending order: the first row of a range has its largest id and then the least hash
-    firsts = rows.groupBy("range").agg(F.max("sid").alias("sid"))
-    firsts = stored(rows.select("range", "sid", "tie").join(F.broadcast(firsts), ["range", "sid"]).groupBy("range", "sid").agg(F.min("tie").alias("tie")), "range-firsts")
+    top = F.max(F.struct(F.col("sid"), F.bitwise_not("tie").alias("over"))).alias("top")
+    firsts = stored(rows.groupBy("range").agg(top).select("range", "top.sid", F.bitwise_not("top.over").alias("tie")), "range-firsts")
     order = Window.orderBy(F.desc("range"))  # a row for each range
     last = firsts.agg(F.min("range")).scalar()
-    before = firsts.select("range", "sid", "tie", F.coalesce(F.lag("range").over(order), last).alias("to"))
-    marked = rows.join(F.broadcast(before), ["range", "sid", "tie"], "left")
+    before = firsts.select("sid", "tie", F.coalesce(F.lag("range").over(order), last).alias("to"))
+    marked = rows.join(F.broadcast(before), ["sid", "tie"], "left")
     canon = canonical(F.col("text"))
     high, low = digest(canon)
     marked = marked.select("doc_id", "text", "sid", "tie", high.alias("high"), low.alias("low"), F.explode(F.filter(F.array(F.struct("range", F.lit(False).alias("copy")), F.struct(F.col("to").alias("range"), F.lit(True).alias("copy"))), lambda x: x["range"].isNotNull())).alias("in"))
@@ -74,7 +74,7 @@ def successors(docs: DataFrame, ranges: int) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """(high, low, check) of each different canonical text with ``place`` in its bucket, ``group_id`` (the least doc_id) and ``group_size``."""
     canon = canonical(F.coalesce("text", F.lit("")))
-    keyed = docs.select("doc_id", canon.alias("canon"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canon.alias("canon"))
     keyed = keyed.select("doc_id", "canon", *(c.alias(n) for c, n in zip(digest(F.col("canon")), ("high", "low"), strict=True)))
     same = keyed.groupBy("high", "low", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     found = same.select("high", "low", F.sha2("canon", 256).alias("check"), "group_id", "group_size")

@@ -176,7 +176,7 @@ def _letters():
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and accepted of each row."""
     model = model or train(docs)
-    keyed = docs.select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "text", _letters().alias("letters"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_remainder("doc_id", 4) == 2).alias("held_out"), "text", _letters().alias("letters"))
     if model is None:
         return keyed.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -275,7 +275,7 @@ def _sorted_counts(rows: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text)."""
     sc = docs.sparkSession.sparkContext
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"), (crc_remainder("doc_id", 5) != 1).alias("train"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), (crc_remainder("doc_id", 5) != 1).alias("train"))
     texts = keyed.select("train", "text")
 
     def counts(run, kept=None) -> DataFrame:

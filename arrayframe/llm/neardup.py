@@ -333,7 +333,7 @@ def _similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) ->
 
 def components(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text), linked at a similarity of 0.8 or more."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     signed = stored(in_batches(keyed, _signed(width), "doc_id bigint, row_key bigint, n_shingles bigint, node bigint, node2 bigint, bands array<bigint>"), "signatures")
     # one row stands for its class; its text is found again by row_key
     picked = signed.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("row_key"))

@@ -102,7 +102,7 @@ def _cut(window: int):
 
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer_file: str | None = None, ranks_file: str | None = None) -> DataFrame:
     """The pieces of all texts: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
-    placed = stored(in_batches(docs.select("doc_id", "text"), _tokenised(tokenizer_file, ranks_file), "part int, local bigint, doc_id bigint, doc_tokens bigint, ids binary"), "token-ids")
+    placed = stored(in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _tokenised(tokenizer_file, ranks_file), "part int, local bigint, doc_id bigint, doc_tokens bigint, ids binary"), "token-ids")
     totals = placed.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     # a row for each partition of the first pass, and no more
     offsets = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

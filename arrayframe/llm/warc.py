@@ -191,6 +191,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) to ``folder``; the manifest (path, records)."""
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     text = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", text.cast("binary").alias("payload"), F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).alias("bytes"))
     hashed = pages.select("page_id", F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).alias("bytes")).where(F.col("bytes") >= REVISIT_BYTES)

@@ -38,3 +38,14 @@ def test_release(spark):
     path = frame.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
     release(spark)
     assert not __import__("os").path.exists(path)
+
+
+def test_narrow_ids(spark):
+    """Ids of another integer type."""
+    from arrayframe.llm import fingerprints, language_id, language_model, licences, main_text, mixing, neardup, packing, repetition, warc
+
+    docs = spark.createDataFrame([(1, "some words here", "en", "s"), (2, "some words here", "en", "s")], "doc_id int, text string, lang string, source string")
+    for run in (fingerprints.fingerprint_edits, language_id.identify, language_model.score_texts, licences.scan, mixing.mix, neardup.components, packing.pack, repetition.repetition):
+        assert run(docs).count() == 2, run
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id int, url string, html string")
+    assert main_text.main_text(pages).count() == warc.round_trip(pages).count() == 1
