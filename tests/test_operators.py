@@ -93,8 +93,8 @@ def test_refinement_is_exact(spark):
     assert got.count() == len(want)
 
 
-XML = """<adios-query><io name="query"><var name="doubleV"><boundingbox start="5" count="80"/><op value="OR">
-<range compare="GT" value="100.6"/><range compare="LT" value="-0.17"/><op value="AND"><range compare="LT" value="11.9"/><range compare="GT" value="2.8"/></op></op></var></io></adios-query>""".replace("adios-query", "array-query")
+XML = """<array-query><io name="query"><var name="doubleV"><boundingbox start="5" count="80"/><op value="OR">
+<range compare="GT" value="100.6"/><range compare="LT" value="-0.17"/><op value="AND"><range compare="LT" value="11.9"/><range compare="GT" value="2.8"/></op></op></var></io></array-query>"""
 JSON = '{"io": {"name": "query", "var": {"name": "doubleV", "boundingbox": {"start": "5", "count": "80"}, "op": {"value": "OR", "range": [{"compare": "GT", "value": "100.6"}, {"compare": "LT", "value": "-0.17"}], "op": [{"value": "AND", "range": [{"compare": "LT", "value": "11.9"}, {"compare": "GT", "value": "2.8"}]}]}}}}'
 
 
