@@ -96,13 +96,13 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model | None:
         return None
     want = np.array([languages.index(x) for x in labels])
     bags = []
-    for chunk in tokens.chunks(pa.array(texts, pa.string())):
+    for chunk in tokens.chunks(pa.array(texts, pa.string()), CHUNK_BYTES):
         at, row = subwords(chunk)
         cut = np.searchsorted(np.sort(row), np.arange(chunk.last - chunk.first + 1))
         at = at[np.argsort(row, kind="stable")]
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             keys, count = np.unique(at[lo:hi], return_counts=True)
-            bags.append((keys, count / max(1, hi - lo)))
+            bags.append((keys.astype(np.int32), (count / max(1, hi - lo)).astype(np.float32)))
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 1 / SIZE, (BUCKETS, SIZE))
     layer, bias = np.zeros((SIZE, len(languages))), np.zeros(len(languages))
