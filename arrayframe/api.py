@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions.derived import derive
 from .functions.parser import parse, variables
 from .operators.layout import quantize
+from .operators.predicates import RangeQuery
 from .operators.selection import Selection
 from .operators.stats import block_stats, merge_stats
 from .shapes import ShapeKind, change, infer
@@ -115,6 +116,8 @@ class FileReader:
     def __init__(self, spark: SparkSession, path: str, dims: Sequence[str], engine: str | None = None, **options: str):
         self.spark, self.dims, self.path = spark, list(dims), path
         self.cells = engines.read(spark, path, engine, **options)
+        # renumbered or flattened steps are not those of the kept statistics
+        self.stored = not options and (engine or engines.detect(spark, path)).lower() in engines.STORES
         self.derived: dict[str, str] = {}
         self._attributes: list[tuple] = []
 
@@ -144,7 +147,14 @@ class FileReader:
         return self.cells.select("step").distinct().count()
 
     def blocks(self, name: str) -> DataFrame:
-        return block_stats(self.read(name), self.dims)
+        """The variable's block statistics: those kept with the store, else computed from the cells."""
+        kept = engines.read_blocks(self.spark, self.path, name) if self.stored and name not in self.derived else None
+        return kept if kept is not None else block_stats(self.read(name), self.dims)
+
+    def query(self, asked: RangeQuery) -> DataFrame:
+        """The cells that match: the touched blocks by their statistics, then their cells."""
+        cells = self.read(asked.variable)
+        return asked.refine(cells, asked.touched(self.blocks(asked.variable), self.dims), self.dims)
 
     def minmax(self, name: str, step: int | None = None) -> DataFrame:
         stats = self.blocks(name)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stats import block_stats
 from ..operators.steps import select_steps
 
 #: Engine names that stand for the step-partitioned Parquet store here.
@@ -22,6 +24,10 @@ PRESETS = {
 }
 
 
+#: The folder of block statistics inside a store; readers of cells pass it over.
+BLOCKS = "_blocks"
+
+
 class EngineError(ValueError):
     """An engine that does not exist or can not do this."""
 
@@ -50,9 +56,12 @@ def detect(spark: SparkSession, path: str, mode: str = "read") -> str:
     return "parquet"
 
 
-def write(frame: DataFrame, path: str, engine: str = "parquet", mode: str = "write", order: tuple[str, ...] = (), append_after: int | None = None, **options: str) -> None:
+def write(frame: DataFrame, path: str, engine: str = "parquet", mode: str = "write", order: tuple[str, ...] = (), append_after: int | None = None, stats: tuple[str, ...] = (), **options: str) -> None:
     """Writes cells by step. Rows are sorted by ``order`` within files, for row-group statistics to prune boxes.
 
+    ``stats`` names variables whose block statistics over the dimensions
+    ``order`` are kept beside the cells, so that range queries ask them alone.
+
     ``append_after`` keeps that many steps (negative: counted from the end) and
     replaces what follows: the dropped partitions go before the new are added.
     """
@@ -76,10 +85,24 @@ def write(frame: DataFrame, path: str, engine: str = "parquet", mode: str = "wri
         fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         for s in steps[keep:]:
             fs.delete(hadoop.Path(f"{path}/step={s}"), True)
+            fs.delete(hadoop.Path(f"{path}/{BLOCKS}/step={s}"), True)
         mode = "append"
     # ranges of the first index within a step: few files a step, and each file's extremes cover a strip
     out = frame.repartitionByRange("step", order[0]).sortWithinPartitions("step", *order) if order else frame.hint("rebalance", "step")
-    out.write.mode({"write": "overwrite", "append": "append"}[mode]).partitionBy("step").parquet(path)
+    how = {"write": "overwrite", "append": "append"}[mode]
+    out.write.mode(how).partitionBy("step").parquet(path)
+    if stats:
+        parts = [block_stats(frame, order, v).withColumns({"name": F.lit(v), "min": F.col("min").cast("double"), "max": F.col("max").cast("double")}) for v in stats]
+        reduce(DataFrame.unionByName, parts).write.mode(how).partitionBy("step").parquet(f"{path}/{BLOCKS}")
+
+
+def read_blocks(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """The kept block statistics of a variable (step, block_id, start_, count_, min, max), if there are any."""
+    if not exists(spark, f"{path}/{BLOCKS}"):
+        return None
+    kept = spark.read.parquet(f"{path}/{BLOCKS}")
+    found = kept.where(F.col("name") == name).drop("name").withColumn("step", F.col("step").cast("long"))
+    return found if kept.where(F.col("name") == name).limit(1).count() else None
 
 
 def read(spark: SparkSession, path: str, engine: str | None = None, select_step: str = "", flatten: int | None = None, **options: str) -> DataFrame:

@@ -179,3 +179,20 @@ def test_formula_source(spark):
     formula.register(spark)
     frame = spark.read.format("arrayformula").options(shape="7,3", steps="2", blocks="3").load()
     assert sorted(tuple(r) for r in frame.collect()) == sorted((s, min(i // 2, 2), i, j, 1000.0 * s + 3 * i + j) for s in range(2) for i in range(7) for j in range(3))
+
+
+def test_kept_statistics(spark, tmp_path):
+    from arrayframe.operators.predicates import Leaf, RangeQuery, Tree
+
+    path = f"file://{tmp_path}/f"
+    frame = cells(spark)
+    engines.write(frame, path, order=("d0",), stats=("v",))
+    engines.write(frame.where("step = 0").withColumn("step", F.lit(3).cast("long")), path, order=("d0",), append_after=3, stats=("v",))
+    reader = api.FileReader(spark, path, ["d0"])
+    assert reader.cells.count() == 40 and engines.read_blocks(spark, path, "w") is None
+    kept = sorted((r.step, r.block_id, r.start_d0, r.count_d0, r.min, r.max) for r in reader.blocks("v").collect())
+    assert kept == sorted((s, b, 5 * b, 5, v + 5.0 * b, v + 5.0 * b + 4) for s, v in ((0, 0), (1, 10), (2, 20), (3, 0)) for b in range(2))
+    asked = RangeQuery("v", Tree("AND", (Leaf("GE", 13.0), Leaf("LT", 27.0))), (2,), (6,))
+    assert sorted(r.value for r in reader.query(asked).collect()) == [13.0, 14.0, 15.0, 16.0, 17.0, 22.0, 23.0, 24.0, 25.0, 26.0]
+    reader.define_derived_variable("twice", "v * 2")
+    assert reader.query(RangeQuery("twice", Tree("AND", (Leaf("GT", 50.0),)))).count() == 4
