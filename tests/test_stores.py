@@ -196,3 +196,16 @@ def test_kept_statistics(spark, tmp_path):
     assert sorted(r.value for r in reader.query(asked).collect()) == [13.0, 14.0, 15.0, 16.0, 17.0, 22.0, 23.0, 24.0, 25.0, 26.0]
     reader.define_derived_variable("twice", "v * 2")
     assert reader.query(RangeQuery("twice", Tree("AND", (Leaf("GT", 50.0),)))).count() == 4
+
+
+def test_workload(spark, tmp_path):
+    from arrayframe.plans import workload
+
+    script = "steps 2 # two\narray u double 7,3 3\narray v int32 7,3 3\nwrite run u,v\nread run u\nread run v 2,1 3,2\nsleep 0\n"
+    got = workload.run(spark, script, f"file://{tmp_path}")
+    assert [(c, t, n) for c, t, n, _ in got] == [("write", "run", 42), ("read", "run", 42), ("read", "run", 12), ("sleep", "0", 0)]
+    frame = engines.read(spark, f"file://{tmp_path}/run")
+    assert sorted((r.step, r.block_id, r.d0, r.d1, r.u, r.v) for r in frame.collect()) == sorted((s, min(i // 2, 2), i, j, 1000.0 * s + 3 * i + j, 1000 * s + 3 * i + j + 1) for s in range(2) for i in range(7) for j in range(3))
+    for bad in ("jump 3", "write run w", "array u nothing 3"):
+        with pytest.raises(workload.WorkloadError):
+            workload.parse(bad)
