@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -70,6 +71,7 @@ def parse(source: str) -> Node:
     root = Node("html", None)
     stack: list[tuple[str, Node | None]] = [("html", root)]  # element, and its node where it is a block
     blocks = [root]
+    opened: Counter[str] = Counter()  # of the stack's elements: nothing is searched for that is not open
     parts: list[str] = []
     linked = items = 0
     in_link = 0
@@ -88,6 +90,7 @@ def parse(source: str) -> Node:
     def pop() -> None:
         nonlocal in_link
         tag, node = stack.pop()
+        opened[tag] -= 1
         if tag == "a":
             in_link = max(0, in_link - 1)
         if node is not None:
@@ -111,7 +114,7 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if found[1]:
-            if tag in ("html", "body"):
+            if tag in ("html", "body") or not opened[tag]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -137,14 +140,14 @@ def parse(source: str) -> Node:
             continue
         if tag in IMPLIED:
             ends, until = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[e] for e in ends) else ():
                 if stack[k][0] in until:
                     break
                 if stack[k][0] in ends:
                     while len(stack) > k:
                         pop()
                     break
-        if tag in BLOCK and tag != "button" and tag != "label":
+        if opened["p"] and tag in BLOCK and tag != "button" and tag != "label":
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     while len(stack) > k:
@@ -163,10 +166,12 @@ def parse(source: str) -> Node:
             blocks[-1].children.append(node)
             blocks.append(node)
             stack.append((tag, node))
+            opened[tag] += 1
         else:
             items += 1
             in_link += tag == "a"
             stack.append((tag, None))
+            opened[tag] += 1
     while len(stack) > 1:
         pop()
     close_run()
