@@ -1,23 +1,26 @@
-"""Operator 10, language-model scoring: a weighted backoff automaton over frequent n-grams.
-
-States are the root, frequent words and frequent word pairs; arcs are the kept
-n-grams up to three words with absolute discounting; a state's failure arc
-leads to its longest proper suffix and carries the backoff weight, so the
-probabilities after each state sum to one. The root holds the smoothed word
-counts of the whole training corpus, (c + 0.5) / (N + 0.5 (V + 1)).
-
-Frequent means at least ``WORD_SHARE`` or ``NGRAM_SHARE`` of the training
-tokens, so at most 4/3 divided by that share can exist, whatever the input's
-size: the automaton is broadcast, with that bound. Candidates come from local
-counts (an n-gram is reported by each segment where it reaches a quarter of the
-share; so reported sums miss less than a quarter), then all kept n-grams are
-counted exactly over all data. The other words' counts never leave the shuffle:
-occurrences meet their word's count in a window over the word, and go back to
-their text as sums.
+"""Operator 10, language-model scoring: a weighted backoff automaton over all n-grams seen twice.
+
+States are the root, words and word pairs; arcs are the n-grams up to three
+words that training holds ``MIN_COUNT`` times or more, at every size of the
+input, with absolute discounting; a state's failure arc leads to its longest
+proper suffix and carries the backoff weight, so the probabilities after each
+state sum to one. The root holds the smoothed word counts of the whole training
+corpus, (c + 0.5) / (N + 0.5 (V + 1)).
+
+The automaton grows with the corpus, so it is never in one place. Texts are
+gathered in segments of about ``SEGMENT`` tokens. A segment sends the hashes of
+its distinct words and pairs with their training counts to buckets of hashes; a
+bucket sums them and answers with the counts over all segments, in the order
+asked. Triples follow in the same way: those of two kept pairs, as no other can
+occur ``MIN_COUNT`` times. For each n-gram one segment is told to speak for it; a
+third exchange sums what a state's arcs take of its probability and of its
+suffix's, and answers with the failure arcs' weights. Each segment then holds the
+part of the automaton that its texts can reach, and scores them. Only two numbers
+a bucket reach the driver.
 
 A text is scored in one pass from left to right; the pass's state is the last
 pair or word known to the automaton, and a word without an arc follows failure
-arcs. The pass is vectorised over a chunk of texts.
+arcs. The pass is vectorised over a segment.
 
 Null text counts as empty: one end token. A null doc_id belongs to the training
 part. Rows that repeat each get their score (and each count in training). An
@@ -26,22 +29,30 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import crc_remainder, in_batches, stored
+from .common import crc_remainder, in_batches, partitions_for, stored
 
-WORD_SHARE, NGRAM_SHARE, DISCOUNT = 2e-6, 2e-6, 0.5
-#: Tokens that a segment gathers before it reports.
-SEGMENT = 1 << 22
+MIN_COUNT, DISCOUNT = 2, 0.5
+#: No word or n-gram is cut by a share; the tests of rare words still set it.
+WORD_SHARE = 0.0
+#: Tokens of a segment.
+SEGMENT = 1 << 20
 END = np.uint64(0x5BD1E9955BD1E995)
+TEXTS, WORDS, PAIRS, TRIPLES, STATES = range(5)
+_ROW = "seg bigint, bucket int, kind int, a binary, b binary"
 
 
 def token_runs(chunk: tokens.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -52,41 +63,6 @@ def token_runs(chunk: tokens.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out, ptr + np.arange(len(ptr))
 
 
-def _counted(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(values), return_counts=True) if values else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-
-
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tokens, runs) of the training rows, chunk by chunk."""
-    for batch in batches:
-        for chunk in tokens.chunks(batch.filter(batch.column("train")).column("text")):
-            yield token_runs(chunk)
-
-
-def _rows(kind: int, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(key.view(np.int64) if key.dtype == np.uint64 else key), pa.array(count.astype(np.int64))], names=["kind", "key", "c"])
-
-
-def _frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words by at least a quarter of the share in their segment, and (kind 0) the number of tokens."""
-    held: list[np.ndarray] = []
-
-    def report() -> Iterator[pa.RecordBatch]:
-        n = sum(map(len, held))
-        if n:
-            key, count = _counted(held)
-            often = count >= WORD_SHARE * n / 4
-            yield _rows(1, key[often], count[often])
-            yield _rows(0, np.zeros(1, dtype=np.int64), np.array([n]))
-        held.clear()
-
-    for h, _ in _training(batches):
-        held.append(h)
-        if sum(map(len, held)) >= SEGMENT:
-            yield from report()
-    yield from report()
-
-
 def word_ids(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Places of ``h`` in the sorted ``words``; -1 for others."""
     at = np.searchsorted(words, h)
@@ -108,81 +84,9 @@ def ngram_keys(ids: np.ndarray, runs: np.ndarray, size: int) -> tuple[np.ndarray
     return pair, triple
 
 
-def _frequent_ngrams(shared):
-    """Exact counts of the frequent words (kind 1); pairs and triples (2, 3) by a quarter of the share in their segment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        count = np.zeros(len(words), dtype=np.int64)
-        held: dict[int, list[np.ndarray]] = {2: [], 3: []}
-        n = 0
-
-        def report() -> Iterator[pa.RecordBatch]:
-            for kind, values in held.items():
-                key, c = _counted(values)
-                often = c >= NGRAM_SHARE * n / 4
-                yield _rows(kind, key[often], c[often])
-                values.clear()
-
-        for h, runs in _training(batches):
-            ids = word_ids(words, h)
-            count += np.bincount(ids[ids >= 0], minlength=len(words))
-            for kind, key in zip((2, 3), ngram_keys(ids, runs, len(words)), strict=True):
-                held[kind].append(key[key >= 0])
-            n += len(h)
-            if n >= SEGMENT:
-                yield from report()
-                n = 0
-        if n:
-            yield from report()
-        some = np.flatnonzero(count)
-        yield _rows(1, words[some], count[some])
-
-    return run
-
-
-def _exact_ngrams(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, *kept = shared.value
-        count = [np.zeros(len(k), dtype=np.int64) for k in kept]
-        for h, runs in _training(batches):
-            for c, k, key in zip(count, kept, ngram_keys(word_ids(words, h), runs, len(words)), strict=True):
-                at = word_ids(k, key[key >= 0])
-                c += np.bincount(at[at >= 0], minlength=len(k))
-        for kind, (k, c) in enumerate(zip(kept, count, strict=True), 2):
-            yield _rows(kind, k[c > 0], c[c > 0])
-
-    return run
-
-
-def _rare_words(shared):
-    """(word, row_key, times in the row, of these in training) of words that are not frequent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        for batch in batches:
-            key, train = batch.column("row_key").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
-            for chunk in tokens.chunks(batch.column("text")):
-                h = chunk.hashes(fold=True)
-                rare = word_ids(words, h) < 0
-                row, h = chunk.word_rows()[rare], h[rare]
-                if not len(h):
-                    continue
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                first = np.ones(len(h), dtype=bool)
-                first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                at = np.flatnonzero(first)
-                tf = np.diff(np.append(at, len(h)))
-                of = row[at] + chunk.first
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(key[of]), pa.array(tf.astype(np.int32)), pa.array(np.where(train[of], tf, 0).astype(np.int32))], names=["word", "row_key", "tf", "tt"])
-
-    return run
-
-
 @dataclass
 class Automaton:
-    words: np.ndarray  # sorted hashes of the frequent words; a word's place is its id
+    words: np.ndarray  # sorted hashes of the words; a word's place is its id
     word_log: np.ndarray  # log10(c + 0.5)
     word_known: np.ndarray
     root_log: float  # log10(N + 0.5 (V + 1))
@@ -222,7 +126,6 @@ class Automaton:
             "n_root": _run_sums(at_root.astype(np.int64), runs),
         }
 
-
 def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values[np.maximum(at, 0)] if len(values) else np.zeros(len(at))
 
@@ -231,87 +134,331 @@ def _run_sums(values: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, runs[:-1]) if len(runs) > 1 else np.zeros(0, dtype=values.dtype)
 
 
+@dataclass
+class Arcs:
+    """Kept n-grams with their counts: sorted keys of the pairs, and triples as a pair's place and a word, sorted."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+    state: np.ndarray
+    last: np.ndarray
+    triple_counts: np.ndarray
+    root: float
+
+    def __post_init__(self) -> None:
+        size = np.int64(len(self.words))
+        self.first, self.second = (self.pairs // size, self.pairs % size) if len(self.pairs) else (self.pairs, self.pairs)
+        self.p1 = (self.counts + 0.5) / self.root
+        self.p2 = (self.pair_counts - DISCOUNT) / np.maximum(self.counts[self.first], 1)
+        self.p3 = (self.triple_counts - DISCOUNT) / _take(self.pair_counts, self.state)
+        # a triple's last two words are kept too: they occur at least as often
+        self.tail = word_ids(self.pairs, self.second[self.state] * size + self.last)
+
+    def sums(self, pair_share: float | np.ndarray = 1.0, triple_share: float | np.ndarray = 1.0) -> list[np.ndarray]:
+        """Of each word, then of each pair: what its arcs take of the probability, and what the same words have in its suffix."""
+        words, pairs = len(self.words), len(self.pairs)
+        of = ((self.first, self.p2 * pair_share, words), (self.first, self.p1[self.second] * pair_share, words), (self.state, self.p3 * triple_share, pairs), (self.state, _take(self.p2, self.tail) * triple_share, pairs))
+        return [np.bincount(*x) for x in of]
+
+    def automaton(self, word_back: np.ndarray, pair_back: np.ndarray) -> Automaton:
+        key = self.state * np.int64(len(self.words)) + self.last
+        return Automaton(self.words, np.log10(self.counts + 0.5), (self.counts > 0).astype(np.int64), math.log10(self.root), self.pairs, np.log10(self.p2), key, np.log10(self.p3), word_back, pair_back)
+
+
+def backoff(taken: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log10 of the failure arcs' weights."""
+    return np.log10(np.maximum(1 - taken, 1e-12)) - np.log10(np.maximum(1 - lower, 1e-12))
+
+
+def root_of(total: int, distinct: int) -> float:
+    return total + 0.5 * (distinct + 1)
+
+
 def build(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray, total: int, distinct: int) -> Automaton:
-    """The automaton from exact counts; keys and counts are sorted by key."""
-    size = len(words)
-    root = total + 0.5 * (distinct + 1)
-    p1 = (counts + 0.5) / root
-    first, second = (pairs // size, pairs % size) if len(pairs) else (pairs, pairs)
-    p2 = (pair_counts - DISCOUNT) / counts[first]
-    taken, lower = np.bincount(first, p2, size), np.bincount(first, p1[second], size)
-    word_back = np.log10(np.maximum(1 - taken, 1e-12)) - np.log10(np.maximum(1 - lower, 1e-12))
-    prefix, last = (triples // size, triples % size) if len(triples) else (triples, triples)
-    state = word_ids(pairs, prefix)
-    p3 = (triple_counts - DISCOUNT) / _take(pair_counts, state) if len(triples) else np.zeros(0)
-    tail = word_ids(pairs, (prefix % size) * np.int64(size) + last) if len(triples) else triples
-    p2_of = np.where(tail >= 0, _take(p2, tail), 10 ** _take(word_back, prefix % size) * _take(p1, last)) if len(triples) else np.zeros(0)
-    taken, lower = np.bincount(state, p3, len(pairs)), np.bincount(state, p2_of, len(pairs))
-    pair_back = np.log10(np.maximum(1 - taken, 1e-12)) - np.log10(np.maximum(1 - lower, 1e-12))
-    key = state * np.int64(size) + last
-    order = np.argsort(key)
-    return Automaton(words, np.log10(counts + 0.5), (counts > 0).astype(np.int64), math.log10(root), pairs, np.log10(np.maximum(p2, 1e-300)), key[order], np.log10(np.maximum(p3, 1e-300))[order], word_back, pair_back)
-
-
-def _scored(shared):
-    names = ("n_tokens", "n_known", "base_part", "score_part", "n_root")
+    """The whole automaton from exact counts; keys and counts are sorted by key."""
+    size = np.int64(len(words))
+    arcs = Arcs(words, counts, pairs, pair_counts, word_ids(pairs, triples // size), triples % size, triple_counts, root_of(total, distinct))
+    taken, lower, pair_taken, pair_lower = arcs.sums()
+    return arcs.automaton(backoff(taken, lower), backoff(pair_taken, pair_lower))
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array as compressed bytes, plane by plane, as upper planes are mostly empty; integers in the least width."""
+    if values.dtype.kind in "iu" and len(values):
+        values = values.astype(np.min_scalar_type(int(values.max())))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return values.dtype.char.encode() + len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    kind = np.dtype(data[:1].decode())
+    planes = pa.decompress(data[9:], decompressed_size=int.from_bytes(data[1:9], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+class Segment:
+    """Texts as places in the segment's sorted word hashes, and what the answers tell of their n-grams."""
+
+    def __init__(self, data: bytes):
+        self.doc_id, self.null, self.train, self.words, ids, self.runs = pickle.loads(data)
+        self.ids, size = unpack(ids).astype(np.int64), np.int64(len(self.words))
+        self.token_train = np.repeat(self.train, np.diff(self.runs))
+        key = ngram_keys(self.ids, self.runs, size)[0]
+        at = key >= 0
+        self.state = np.full(len(key), -1, dtype=np.int64)
+        self.pairs, self.state[at] = np.unique(key[at], return_inverse=True)
+        self.pair_hash = _join(self.words[self.pairs // size], self.words[self.pairs % size])
+        self.pair_order = np.argsort(self.pair_hash)
+
+    def trained(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of the words and of the pairs."""
+        state = self.state[self.token_train]
+        return np.bincount(self.ids[self.token_train], minlength=len(self.words)), np.bincount(state[state >= 0], minlength=len(self.pairs))
+
+    def keep_pairs(self, answers: dict[int, np.ndarray]) -> None:
+        """Takes the counts of words and pairs; finds the triples of two kept pairs."""
+        size = np.int64(len(self.words))
+        told = _in_order(answers[PAIRS], self.pair_order)
+        kept = told > 0
+        place = np.where(kept, np.cumsum(kept) - 1, -1)
+        self.pairs, self.pair_hash, told = self.pairs[kept], self.pair_hash[kept], told[kept]
+        self.counts, self.pair_counts, self.pair_speaks = answers[WORDS] >> 1, told >> 1, told & 1
+        state = np.where(self.state >= 0, _take(place, self.state).astype(np.int64), -1)
+        before = np.full(len(state), -1, dtype=np.int64)
+        before[1:] = state[:-1]
+        before[self.runs[:-1]] = -1
+        at = (before >= 0) & (state >= 0)
+        self.triples, of = np.unique(before[at] * size + self.ids[at], return_inverse=True)
+        self.triple_train = np.bincount(of[self.token_train[at]], minlength=len(self.triples))
+        self.triple_hash = _join(_take(self.pair_hash, self.triples // size), self.words[self.triples % size]) if len(self.triples) else np.zeros(0, dtype=np.uint64)
+        self.triple_order = np.argsort(self.triple_hash)
+
+    def arcs(self, answers: dict[int, np.ndarray], root: float) -> tuple[Arcs, np.ndarray]:
+        """The kept n-grams, and for which triples this segment speaks."""
+        size = np.int64(len(self.words))
+        told = _in_order(answers[TRIPLES], self.triple_order)
+        triples, told = self.triples[told > 0], told[told > 0]
+        return Arcs(self.words, self.counts, self.pairs, self.pair_counts, triples // size, triples % size, told >> 1, root), told & 1
+
+    def states(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words and kept pairs that something follows: their places, hashes, and the order of all these hashes."""
+        words = np.flatnonzero((self.counts > 0) & (self.words != END))
+        pairs = np.flatnonzero(self.words[self.pairs % np.int64(len(self.words))] != END)
+        hashes = np.concatenate([self.words[words], self.pair_hash[pairs]])
+        return words, pairs, hashes, np.argsort(hashes)
+
+
+def _in_order(answer: np.ndarray, order: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(order), dtype=np.int64)
+    out[order] = answer
+    return out
 
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of what ``b`` follows ``a`` makes."""
+    return tokens.mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0xD6E8FEB86659FD93)))
+
+
+def _segments(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Automaton = shared.value
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+
+        def segment() -> pa.RecordBatch:
+            nonlocal number
+            doc_id, null, train, h, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+            words, ids = np.unique(h, return_inverse=True)
+            data = pickle.dumps((doc_id, null, train, words, pack(ids), np.concatenate([[0], np.cumsum(lengths)])))
+            held.clear()
+            number += 1
+            return _row(number, -1, TEXTS, data, None)
+
         for batch in batches:
-            parts = [model.score(*token_runs(chunk)) for chunk in tokens.chunks(batch.column("text"))]
-            if parts:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row_key", "train")), *(pa.array(np.concatenate([p[k] for p in parts])) for k in names)], names=["doc_id", "row_key", "train", *names])
+            for chunk in tokens.chunks(batch.column("text")):
+                h, runs = token_runs(chunk)
+                rows = batch.slice(chunk.first, chunk.last - chunk.first)
+                doc_id = rows.column("doc_id")
+                held.append((doc_id.fill_null(0).to_numpy(zero_copy_only=False), doc_id.is_null().to_numpy(zero_copy_only=False), rows.column("train").to_numpy(zero_copy_only=False), h, np.diff(runs)))
+                if sum(len(x[3]) for x in held) >= least:
+                    yield segment()
+        if held:
+            yield segment()
 
     return run
 
 
-def _sorted_counts(rows: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    got = rows.where(F.col("kind") == kind).select("key", "c").toArrow()
-    key, count = got.column("key").to_numpy(), got.column("c").to_numpy()
-    order = np.argsort(key)
-    return key[order], count[order]
+def _row(seg: int, bucket: int, kind: int, a: bytes, b: bytes | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], names=["seg", "bucket", "kind", "a", "b"])
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("seg", "bucket", "kind", "a", "b")), strict=True)
+
+
+def _asked(seg: int, kind: int, keys: np.ndarray, values: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sorted keys and their values, dealt to buckets by the keys' upper bits; zeros are left out."""
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cut = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+    some = np.any([v != 0 for v in values], axis=0)
+    for bucket in range(buckets):
+        at = slice(cut[bucket], cut[bucket + 1])
+        if at.start < at.stop:
+            yield _row(seg, bucket, kind, pack_keys(keys[at]), pickle.dumps((np.packbits(some[at]).tobytes(), *(pack(v[at][some[at]]) for v in values))))
+
+
+def _values(data: bytes, n: int) -> list[np.ndarray]:
+    some, *values = pickle.loads(data)
+    at = np.unpackbits(np.frombuffer(some, dtype=np.uint8), count=n).astype(bool)
+    out = [np.zeros(n) for _ in values]
+    for o, v in zip(out, values, strict=True):
+        o[at] = unpack(v)
+    return out
+
+
+def _ask_pairs(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seg, _, _, data, _ in _rows(batches):
+            s = Segment(data)
+            words, pairs = s.trained()
+            yield from _asked(seg, WORDS, s.words, [words], buckets)
+            yield from _asked(seg, PAIRS, s.pair_hash[s.pair_order], [pairs[s.pair_order]], buckets)
+
+    return run
+
+
+def _ask_triples(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seg, s, answers in _gathered(batches):
+            s.keep_pairs(answers)
+            yield from _asked(seg, TRIPLES, s.triple_hash[s.triple_order], [s.triple_train[s.triple_order]], buckets)
+
+    return run
+
+
+def _ask_states(root: float, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seg, s, answers in _gathered(batches):
+            s.keep_pairs(answers)
+            arcs, speaks = s.arcs(answers, root)
+            taken, lower, pair_taken, pair_lower = arcs.sums(s.pair_speaks, speaks)
+            words, pairs, hashes, order = s.states()
+            values = [np.concatenate([w[words], p[pairs]])[order] for w, p in ((taken, pair_taken), (lower, pair_lower))]
+            yield from _asked(seg, STATES, hashes[order], values, buckets)
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the values of a key over all segments and answers each segment in the order it asked.
+
+    A count is answered twice over, plus one to the segment that speaks for its key;
+    b of one row: training tokens and distinct words.
+    """
+    asked = defaultdict(list)
+    for seg, bucket, kind, keys, values in _rows(batches):
+        asked[kind].append((seg, bucket, keys := unpack_keys(keys), _values(values, len(keys))))
+    for kind, got in asked.items():
+        keys, first, at = np.unique(np.concatenate([x[2] for x in got]), return_index=True, return_inverse=True)
+        sums = [np.bincount(at, np.concatenate(v), len(keys)) for v in zip(*(x[3] for x in got), strict=True)]
+        told = None
+        if kind == STATES:
+            answer = backoff(*sums)[at]
+        else:
+            count = sums[0].astype(np.int64)
+            if kind == WORDS:
+                told = pickle.dumps((int(count.sum()), int((count > 0).sum())))
+            else:
+                count[count < MIN_COUNT] = 0
+            answer = 2 * count[at]
+            answer[first[count > 0]] += 1
+        cut = np.cumsum([0, *(len(x[2]) for x in got)])
+        for (seg, bucket, *_), a, b in zip(got, cut[:-1], cut[1:], strict=True):
+            yield _row(seg, bucket, kind, pack(answer[a:b]), told)
+            told = None
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Segment, dict[int, np.ndarray]]]:
+    """Each segment with the answers it got; rows come by segment and bucket, the texts first."""
+    seg, texts, parts = None, b"", {}
+
+    def whole() -> tuple[int, Segment, dict[int, np.ndarray]]:
+        return seg, Segment(texts), {k: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for k, v in parts.items()}
+
+    for number, _, kind, data, _ in _rows(batches):
+        if kind == TEXTS:
+            if seg is not None:
+                yield whole()
+            seg, texts, parts = number, data, {WORDS: [], PAIRS: [], TRIPLES: [], STATES: []}
+        else:
+            got = unpack(data)
+            parts[kind].append(got if kind == STATES else got.astype(np.int64))
+    if seg is not None:
+        yield whole()
+
+
+def _scored(root: float):
+    names = ("n_tokens", "n_known", "base_part", "score_part", "n_root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, s, answers in _gathered(batches):
+            s.keep_pairs(answers)
+            words, pairs, hashes, order = s.states()
+            back = np.zeros(len(hashes))
+            back[order] = answers[STATES]
+            word_back, pair_back = np.zeros(len(s.words)), np.zeros(len(s.pairs))
+            word_back[words], pair_back[pairs] = back[: len(words)], back[len(words) :]
+            got = s.arcs(answers, root)[0].automaton(word_back, pair_back).score(s.words[s.ids], s.runs)
+            yield pa.RecordBatch.from_arrays([pa.array(s.doc_id, pa.int64(), mask=s.null), pa.array(s.train), *(pa.array(got[k]) for k in names)], names=["doc_id", "train", *names])
+
+    return run
+
+
+def score_texts(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text)."""
-    sc = docs.sparkSession.sparkContext
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), (crc_remainder("doc_id", 5) != 1).alias("train"))
-    texts = keyed.select("train", "text")
-
-    def counts(run, kept=None) -> DataFrame:
-        rows = in_batches(texts, run, "kind int, key bigint, c bigint").groupBy("kind", "key").agg(F.sum("c").alias("c"))
-        return stored(rows if kept is None else rows.where(kept), "lm-counts")
-
-    seen = counts(_frequent_words)
-    total = int(seen.where("kind = 0").agg(F.sum("c")).first()[0] or 0)
-    frequent = seen.where((F.col("kind") == 1) & (F.col("c") >= 0.75 * WORD_SHARE * total)).select("key").toArrow().column("key").to_numpy()
-    words = np.unique(np.append(frequent.view(np.uint64), END))
-    seen = counts(_frequent_ngrams(sc.broadcast(words)), (F.col("kind") == 1) | (F.col("c") >= max(2.0, 0.75 * NGRAM_SHARE * total)))
-    hashed, found = _sorted_counts(seen, 1)
-    word_counts = np.zeros(len(words), dtype=np.int64)
-    word_counts[word_ids(words, hashed.view(np.uint64))] = found
-    kept = [_sorted_counts(seen, k)[0] for k in (2, 3)]
-    seen = counts(_exact_ngrams(sc.broadcast((words, *kept))))
-    pairs, triples = _sorted_counts(seen, 2), _sorted_counts(seen, 3)
-
-    by_word, first = Window.partitionBy("word"), Window.partitionBy("word").orderBy("row_key")
-    met = in_batches(keyed.select("row_key", "train", "text"), _rare_words(sc.broadcast(words)), "word bigint, row_key bigint, tf int, tt int").select("row_key", "tf", F.sum("tt").over(by_word).alias("c"), (F.row_number().over(first) == 1).alias("first"))
-    rare = stored(
-        met.groupBy("row_key").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 0.5)).alias("rare_part"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"), F.sum((F.col("first") & (F.col("c") > 0)).cast("long")).alias("new")),
-        "lm-rare",
-    )
-    distinct = int((word_counts > 0).sum()) + int(rare.agg(F.sum("new")).first()[0] or 0)
-    model = build(words, word_counts, *pairs, *triples, total, distinct)
-    scored = in_batches(keyed.select("doc_id", "row_key", "train", "text"), _scored(sc.broadcast(model)), "doc_id bigint, row_key bigint, train boolean, n_tokens bigint, n_known bigint, base_part double, score_part double, n_root bigint")
-    # rows that repeat share a row_key, and the sums hold each of them
-    times = F.count("*").over(Window.partitionBy("row_key"))
-    part = F.coalesce(F.col("rare_part"), F.lit(0.0)) / F.col("times")
-    return scored.withColumn("times", times).join(rare.drop("new"), "row_key", "left").select(
+    buckets = partitions_for(docs.sparkSession)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_remainder("doc_id", 5) != 1).alias("train"))
+    texts = stored(in_batches(keyed, _segments(segment), _ROW), "lm-segments")
+
+    def answered(run, *answers: DataFrame) -> DataFrame:
+        asked = in_batches(with_answers(*answers) if answers else texts, run, _ROW).repartitionById(buckets, "bucket")
+        out = stored(in_batches(asked, _answer, _ROW), "lm-answers")
+        del asked
+        # the exchange's files are done with; Spark deletes them once nothing refers to them, as its last job still does
+        out.limit(1).count()
+        gc.collect()
+        docs.sparkSession.sparkContext._jvm.System.gc()
+        return out
+
+    def with_answers(*answers: DataFrame) -> DataFrame:
+        rows = texts
+        for x in answers:
+            rows = rows.unionByName(x.withColumn("b", F.lit(None).cast("binary")))
+        return rows.repartition(buckets, "seg").sortWithinPartitions("seg", "bucket", "kind")
+
+    pairs = answered(_ask_pairs(buckets))
+    told = [pickle.loads(r.b) for r in pairs.where("b is not null").select("b").toLocalIterator()]
+    total, distinct = sum(x[0] for x in told), sum(x[1] for x in told)
+    root = root_of(total, distinct)
+    triples = answered(_ask_triples(buckets), pairs)
+    states = answered(_ask_states(root, buckets), pairs, triples)
+    scored = in_batches(with_answers(pairs, triples, states), _scored(root), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_part double, score_part double, n_root bigint")
+    return scored.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce(F.col("rare_known"), F.lit(0)) / F.col("times")).cast("long").alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_part") + part - F.col("n_tokens") * model.root_log).alias("base_score"),
-        (F.col("score_part") + part - F.col("n_root") * model.root_log).alias("score"),
+        (F.col("base_part") - F.col("n_tokens") * math.log10(root)).alias("base_score"),
+        (F.col("score_part") - F.col("n_root") * math.log10(root)).alias("score"),
     )

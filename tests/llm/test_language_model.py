@@ -84,3 +84,45 @@ def test_probabilities_after_each_state_sum_to_one():
                 state = L.word_ids(model.pairs, np.array([two * len(words) + one]))[0]
                 back *= 10 ** model.pair_back[state] if state >= 0 else 1.0
         assert total + back * unknown == pytest.approx(1.0, abs=1e-9), history
+
+
+def whole_scores(rows):
+    """Scores of a backoff model with every pair and triple that training holds twice, by plain dictionaries."""
+    runs = [(held(k), toks(t)) for k, t in rows]
+    c = [Counter(tuple(x[i : i + n]) for out, x in runs if not out for i in range(len(x) - n + 1)) for n in (1, 2, 3)]
+    n, v = sum(c[0].values()), len(c[0])
+    kept = [{g: k for g, k in of.items() if k >= 2} for of in c[1:]]
+    p1 = lambda w: (c[0][w,] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = {g: (k - 0.5) / c[0][g[:1]] for g, k in kept[0].items()}
+    p3 = {g: (k - 0.5) / c[1][g[:2]] for g, k in kept[1].items()}
+    sums = {}
+    for arcs, lower in ((p2, lambda g: p1(g[1])), (p3, lambda g: p2[g[1:]])):
+        for g, p in arcs.items():
+            a, b = sums.get(g[:-1], (0.0, 0.0))
+            sums[g[:-1]] = a + p, b + lower(g)
+    back = {s: max(1 - a, 1e-12) / max(1 - b, 1e-12) for s, (a, b) in sums.items()}
+
+    def p(x, i):
+        tri, bi = tuple(x[i - 2 : i + 1]) if i > 1 else None, tuple(x[i - 1 : i + 1]) if i else None
+        if tri in p3:
+            return p3[tri]
+        weight = back.get(tri[:2], 1.0) if tri else 1.0
+        return weight * (p2[bi] if bi in p2 else (back.get(bi[:1], 1.0) if bi else 1.0) * p1(x[i]))
+
+    return [sum(math.log10(p(x, i)) for i in range(len(x))) for _, x in runs]
+
+
+@pytest.mark.parametrize("segment", [300, L.SEGMENT])
+def test_scores_equal_a_whole_model(docs, texts, segment):
+    rows = list(texts.items())
+    got = {r.doc_id: r.score for r in L.score_texts(docs, segment).collect()}
+    for (k, _), s in zip(rows, whole_scores(rows), strict=True):
+        assert got[k] == pytest.approx(s, abs=1e-5), k
+
+
+def test_ngrams_seen_twice_are_kept_in_a_long_corpus(spark):
+    filler = spark.range(2400).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 1000), i -> concat('f', i * (id + 7) % 9973)), ' ') AS text")
+    ids = [k for k in range(10_000, 10_100) if not held(k)][:2] + [k for k in range(10_000, 10_100) if held(k)][:1]
+    planted = spark.createDataFrame([(k, " ".join(f"planted{i}" for i in range(20))) for k in ids], "doc_id bigint, text string")
+    scored = L.score_texts(filler.unionByName(planted)).where(f"doc_id = {ids[2]}").first()
+    assert scored.score > scored.base_score + 20
