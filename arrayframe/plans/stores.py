@@ -36,8 +36,8 @@ def block_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _series(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     cells = ev1d(spark, sf_dir).select("step", "d0", "value")
-    cut = [(0, 3), (3, 5), (5, 10)]
-    return [cells.where((F.col("step") >= a) & (F.col("step") < b)).withColumn("step", F.col("step") - a) for a, b in cut]
+    first, second, last = F.col("step") < 3, (F.col("step") >= 3) & (F.col("step") < 5), F.col("step") >= 5
+    return [cells.where(part).withColumn("step", F.col("step") - a) for a, part in ((0, first), (3, second), (5, last))]
 
 
 @query(f"SELECT step, d0, value FROM {EV} WHERE step < 10")
@@ -47,8 +47,10 @@ def ts_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT step, CASE WHEN step < 3 THEN 'a' WHEN step < 5 THEN 'b' ELSE 'c' END AS file FROM {EV} WHERE step < 10")
 def ts_find_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = spark.createDataFrame([("a", 0, 2), ("b", 3, 4), ("c", 5, 9)], "file string, first_step bigint, last_step bigint")
-    return timeseries.file_of_step(ranges, ev1d(spark, sf_dir).select("step").distinct())
+    seen = ev1d(spark, sf_dir).select("step").distinct()
+    last = seen.agg(F.greatest(F.max("step"), F.lit(5))).scalar()
+    ranges = spark.createDataFrame([("a", 0, 2), ("b", 3, 4), ("c", 5, None)], "file string, first_step bigint, last_step bigint").withColumn("last_step", F.coalesce("last_step", last))
+    return timeseries.file_of_step(ranges, seen)
 
 
 @query(f"SELECT min(value) AS min, max(value) AS max FROM {EV} WHERE step < 10")

@@ -209,3 +209,19 @@ def test_workload(spark, tmp_path):
     for bad in ("jump 3", "write run w", "array u nothing 3"):
         with pytest.raises(workload.WorkloadError):
             workload.parse(bad)
+
+
+def test_series_queries_take_all_steps(spark):
+    from conftest import DATA
+
+    from arrayframe.plans.registry import QUERIES
+
+    sf_dir = f"{DATA}/sf0.1"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") / 1000).cast("long").alias("step"), F.col("event_id").alias("id"), "value")
+    steps = {r.step for r in events.select("step").distinct().collect()}
+    assert max(steps) > 10
+    got = QUERIES["ts_concat"](spark, sf_dir).select((F.col("step") * 1000 + F.col("d0")).alias("id"), "value")
+    assert got.count() == events.count() and got.exceptAll(events.select("id", "value")).count() == 0
+    files = {r.step: r.file for r in QUERIES["ts_find_file"](spark, sf_dir).collect()}
+    assert files == {s: "a" if s < 3 else "b" if s < 5 else "c" for s in steps}
+    assert tuple(QUERIES["ts_minmax"](spark, sf_dir).first()) == tuple(events.agg(F.min("value"), F.max("value")).first())
