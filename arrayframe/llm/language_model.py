@@ -11,16 +11,20 @@ The automaton grows with the corpus, so it is never in one place. Texts are
 gathered in segments of about ``SEGMENT`` tokens. A segment sends the hashes of
 its distinct words and pairs with their training counts to buckets of hashes; a
 bucket sums them and answers with the counts over all segments, in the order
-asked. Triples follow in the same way: those of two kept pairs, as no other can
-occur ``MIN_COUNT`` times. For each n-gram one segment is told to speak for it; a
-third exchange sums what a state's arcs take of its probability and of its
-suffix's, and answers with the failure arcs' weights. Each segment then holds the
-part of the automaton that its texts can reach, and scores them. Only two numbers
-a bucket reach the driver.
-
-A text is scored in one pass from left to right; the pass's state is the last
-pair or word known to the automaton, and a word without an arc follows failure
-arcs. The pass is vectorised over a segment.
+asked, and with a number for each word and pair that is kept. Triples follow in
+the same way: those of two kept pairs, as no other can occur ``MIN_COUNT`` times.
+For each n-gram one segment is told to speak for it; a third exchange, by those
+numbers, sums what a state's arcs take of its probability and of its suffix's, in
+whole halves of a count, so that no order of summing shows. From the two sums
+comes a failure arc's weight. Each segment then holds the part of the automaton
+that its texts can reach, and scores them. Only two numbers a bucket reach the
+driver.
+
+A text is scored in one pass from left to right that carries the automaton's
+state (root, word or pair): a token follows its state's arc or else failure arcs
+until one is found, and each arc adds its log. A segment's texts walk side by
+side, in pieces of ``PIECE`` tokens; a piece inside a text first walks the two
+tokens before it, which settle its state.
 
 Null text counts as empty: one end token. A null doc_id belongs to the training
 part. Rows that repeat each get their score (and each count in training). An
@@ -50,8 +54,10 @@ MIN_COUNT, DISCOUNT = 2, 0.5
 WORD_SHARE = 0.0
 #: Tokens of a segment.
 SEGMENT = 1 << 20
+#: Tokens of a text that one lane walks.
+PIECE = 256
 END = np.uint64(0x5BD1E9955BD1E995)
-TEXTS, WORDS, PAIRS, TRIPLES, STATES = range(5)
+TEXTS, WORDS, PAIRS, TRIPLES, WORD_STATES, PAIR_STATES, TOTALS = range(7)
 _ROW = "seg bigint, bucket int, kind int, a binary, b binary"
 
 
@@ -86,46 +92,82 @@ def ngram_keys(ids: np.ndarray, runs: np.ndarray, size: int) -> tuple[np.ndarray
 
 @dataclass
 class Automaton:
-    words: np.ndarray  # sorted hashes of the words; a word's place is its id
+    """States: -1 the root, then words, then pairs. A state's arcs lie together in a sorted table."""
+
+    words: np.ndarray  # sorted hashes of the words; a word's place is its state
     word_log: np.ndarray  # log10(c + 0.5)
     word_known: np.ndarray
     root_log: float  # log10(N + 0.5 (V + 1))
-    pairs: np.ndarray  # sorted keys; a pair's place is its state
+    pairs: np.ndarray  # arcs of the words: state * number of words + word; a pair's place, after the words, is the state it leads to
     pair_log: np.ndarray
-    triples: np.ndarray  # sorted keys: state of the pair * number of words + word
+    triples: np.ndarray  # arcs of the pairs: place of the pair * number of words + word
     triple_log: np.ndarray
+    triple_to: np.ndarray  # place of the pair that an arc leads to
     word_back: np.ndarray  # log10 of the failure arcs' weights
     pair_back: np.ndarray
 
     def score(self, h: np.ndarray, runs: np.ndarray) -> dict[str, np.ndarray]:
-        """Sums over each run of tokens; what the rare words' counts add comes later."""
-        size = len(self.words)
+        """Sums over each run of tokens; the root's denominator comes later, ``n_root`` times."""
         ids = word_ids(self.words, h)
-        pair_key, triple_key = ngram_keys(ids, runs, size)
-        known = ids >= 0
-        state = np.where(pair_key >= 0, word_ids(self.pairs, pair_key), -1)
-        before = np.full(len(h), -1, dtype=np.int64)
-        before[1:] = state[:-1]
-        before[runs[:-1][runs[:-1] < len(h)]] = -1
-        triple = np.where((before >= 0) & known, word_ids(self.triples, before * np.int64(size) + ids), -1)
-        last = np.full(len(h), -1, dtype=np.int64)
-        last[1:] = ids[:-1]
-        last[runs[:-1][runs[:-1] < len(h)]] = -1
-        at_root = (triple < 0) & (state < 0)
-        word_part = np.where(known, self.word_log[ids] if size else 0.0, 0.0)
-        log = np.where(triple >= 0, _take(self.triple_log, triple), 0.0)
-        log += np.where((triple < 0) & (before >= 0), _take(self.pair_back, before), 0.0)
-        log += np.where((triple < 0) & (state >= 0), _take(self.pair_log, state), 0.0)
-        log += np.where(at_root & (last >= 0), _take(self.word_back, last), 0.0)
-        log += np.where(at_root, word_part, 0.0)
+        word_part = np.where(ids >= 0, _take(self.word_log, ids), 0.0)
+        log, at_root = self.walk(ids, runs, word_part)
         return {
             "n_tokens": np.diff(runs),
-            "n_known": _run_sums(np.where(known, _take(self.word_known, ids), 0), runs),
+            "n_known": _run_sums(np.where(ids >= 0, _take(self.word_known, ids), 0), runs),
             "base_part": _run_sums(word_part, runs),
             "score_part": _run_sums(log, runs),
             "n_root": _run_sums(at_root.astype(np.int64), runs),
         }
 
+    def walk(self, ids: np.ndarray, runs: np.ndarray, word_part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each token adds, and whether its arc left the root."""
+        log, at_root = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
+        pieces = -(-np.diff(runs) // PIECE)
+        run = np.repeat(np.arange(len(pieces)), pieces)
+        begin = runs[run] + (np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        end = np.minimum(begin + PIECE, runs[run + 1])
+        enter = np.maximum(begin - 2, runs[run])
+        by = np.argsort(enter - end, kind="stable")  # long walks first: lanes that still walk are the first ones
+        begin, end, enter = begin[by], end[by], enter[by]
+        state, left = np.full(len(by), -1, dtype=np.int64), enter - end
+        for step in range(-int(left.min(initial=0))):
+            walking = int(np.searchsorted(left, -step, side="left"))
+            at = enter[:walking] + step
+            state, add, root = self.follow(state[:walking], ids[at], word_part[at])
+            own = at >= begin[:walking]
+            log[at[own]], at_root[at[own]] = add[own], root[own]
+        return log, at_root
+
+    def follow(self, state: np.ndarray, word: np.ndarray, word_part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The states after ``word``, the logs of the arcs on the way, and which of them passed the root."""
+        size = len(self.words)
+        to, add = word.copy(), np.zeros(len(word))
+        lane = np.flatnonzero(state >= size)
+        found = self._along(lane, state[lane] - size, word, self.triples, self.triple_log, add)
+        hit, miss = found >= 0, found < 0
+        to[lane[hit]] = size + self.triple_to[found[hit]]
+        pair = state[lane[miss]] - size
+        add[lane[miss]] += _take(self.pair_back, pair)
+        here = state.copy()
+        here[lane[miss]] = self.pairs[pair] % size if len(pair) else pair
+        lane = np.concatenate([np.flatnonzero((state >= 0) & (state < size)), lane[miss]])
+        found = self._along(lane, here[lane], word, self.pairs, self.pair_log, add)
+        hit, miss = found >= 0, found < 0
+        to[lane[hit]] = size + found[hit]
+        add[lane[miss]] += _take(self.word_back, here[lane[miss]])
+        root = state < 0
+        root[lane[miss]] = True
+        add[root] += word_part[root]
+        return to, add, root
+
+    def _along(self, lane: np.ndarray, state: np.ndarray, word: np.ndarray, arcs: np.ndarray, logs: np.ndarray, add: np.ndarray) -> np.ndarray:
+        """The arcs that lead on from ``state``, -1 for none; theirs is added to ``add``."""
+        w = word[lane]
+        found = np.where(w >= 0, word_ids(arcs, state * np.int64(len(self.words)) + w), -1)
+        add[lane[found >= 0]] += logs[found[found >= 0]]
+        return found
+
+
 def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values[np.maximum(at, 0)] if len(values) else np.zeros(len(at))
 
@@ -150,21 +192,31 @@ class Arcs:
     def __post_init__(self) -> None:
         size = np.int64(len(self.words))
         self.first, self.second = (self.pairs // size, self.pairs % size) if len(self.pairs) else (self.pairs, self.pairs)
-        self.p1 = (self.counts + 0.5) / self.root
         self.p2 = (self.pair_counts - DISCOUNT) / np.maximum(self.counts[self.first], 1)
         self.p3 = (self.triple_counts - DISCOUNT) / _take(self.pair_counts, self.state)
         # a triple's last two words are kept too: they occur at least as often
         self.tail = word_ids(self.pairs, self.second[self.state] * size + self.last)
 
-    def sums(self, pair_share: float | np.ndarray = 1.0, triple_share: float | np.ndarray = 1.0) -> list[np.ndarray]:
-        """Of each word, then of each pair: what its arcs take of the probability, and what the same words have in its suffix."""
+    def sums(self, pair_share: int | np.ndarray = 1, triple_share: int | np.ndarray = 1) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Of the words, then of the pairs: what each one's arcs take of its probability, and what the same words have in its suffix.
+
+        In halves of a count, over the denominators in ``backs``: whole numbers.
+        """
         words, pairs = len(self.words), len(self.pairs)
-        of = ((self.first, self.p2 * pair_share, words), (self.first, self.p1[self.second] * pair_share, words), (self.state, self.p3 * triple_share, pairs), (self.state, _take(self.p2, self.tail) * triple_share, pairs))
-        return [np.bincount(*x) for x in of]
+        add = lambda at, values, n: np.bincount(at, values, n).astype(np.int64)
+        less = int(2 * DISCOUNT)
+        of_words = add(self.first, (2 * self.pair_counts - less) * pair_share, words), add(self.first, (2 * self.counts[self.second] + 1) * pair_share, words)
+        of_pairs = add(self.state, (2 * self.triple_counts - less) * triple_share, pairs), add(self.state, (2 * _take(self.pair_counts, self.tail) - less) * triple_share, pairs)
+        return of_words, of_pairs
+
+    def backs(self, of_words: tuple[np.ndarray, np.ndarray], of_pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the failure arcs' weights of words and pairs."""
+        own = np.maximum(self.counts, 1)
+        return backoff(of_words[0] / (2 * own), of_words[1] / (2 * self.root)), backoff(of_pairs[0] / (2 * np.maximum(self.pair_counts, 1)), of_pairs[1] / (2 * own[self.second]))
 
     def automaton(self, word_back: np.ndarray, pair_back: np.ndarray) -> Automaton:
         key = self.state * np.int64(len(self.words)) + self.last
-        return Automaton(self.words, np.log10(self.counts + 0.5), (self.counts > 0).astype(np.int64), math.log10(self.root), self.pairs, np.log10(self.p2), key, np.log10(self.p3), word_back, pair_back)
+        return Automaton(self.words, np.log10(self.counts + 0.5), (self.counts > 0).astype(np.int64), math.log10(self.root), self.pairs, np.log10(self.p2), key, np.log10(self.p3), self.tail, word_back, pair_back)
 
 
 def backoff(taken: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -180,8 +232,7 @@ def build(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts:
     """The whole automaton from exact counts; keys and counts are sorted by key."""
     size = np.int64(len(words))
     arcs = Arcs(words, counts, pairs, pair_counts, word_ids(pairs, triples // size), triples % size, triple_counts, root_of(total, distinct))
-    taken, lower, pair_taken, pair_lower = arcs.sums()
-    return arcs.automaton(backoff(taken, lower), backoff(pair_taken, pair_lower))
+    return arcs.automaton(*arcs.backs(*arcs.sums()))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -210,8 +261,11 @@ class Segment:
     """Texts as places in the segment's sorted word hashes, and what the answers tell of their n-grams."""
 
     def __init__(self, data: bytes):
-        self.doc_id, self.null, self.train, self.words, ids, self.runs = pickle.loads(data)
-        self.ids, size = unpack(ids).astype(np.int64), np.int64(len(self.words))
+        self.doc_id, self.null, self.train, words, ids, self.runs = pickle.loads(data)
+        order = np.argsort(words)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.words, self.ids, size = words[order], place[unpack(ids)], np.int64(len(words))
         self.token_train = np.repeat(self.train, np.diff(self.runs))
         key = ngram_keys(self.ids, self.runs, size)[0]
         at = key >= 0
@@ -231,6 +285,8 @@ class Segment:
         told = _in_order(answers[PAIRS], self.pair_order)
         kept = told > 0
         place = np.where(kept, np.cumsum(kept) - 1, -1)
+        #: places of the kept pairs in the order of their hashes, as their numbers come
+        self.kept_order = place[self.pair_order][kept[self.pair_order]]
         self.pairs, self.pair_hash, told = self.pairs[kept], self.pair_hash[kept], told[kept]
         self.counts, self.pair_counts, self.pair_speaks = answers[WORDS] >> 1, told >> 1, told & 1
         state = np.where(self.state >= 0, _take(place, self.state).astype(np.int64), -1)
@@ -250,12 +306,19 @@ class Segment:
         triples, told = self.triples[told > 0], told[told > 0]
         return Arcs(self.words, self.counts, self.pairs, self.pair_counts, triples // size, triples % size, told >> 1, root), told & 1
 
-    def states(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words and kept pairs that something follows: their places, hashes, and the order of all these hashes."""
-        words = np.flatnonzero((self.counts > 0) & (self.words != END))
-        pairs = np.flatnonzero(self.words[self.pairs % np.int64(len(self.words))] != END)
-        hashes = np.concatenate([self.words[words], self.pair_hash[pairs]])
-        return words, pairs, hashes, np.argsort(hashes)
+    def ask_states(self, arcs: Arcs, speaks: np.ndarray, answers: dict[int, np.ndarray], seg: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """What this segment adds to the sums of its words and kept pairs, by their numbers."""
+        of_words, of_pairs = arcs.sums(self.pair_speaks, speaks)
+        known, order = self.counts > 0, self.kept_order
+        yield from _asked(seg, WORD_STATES, self.words[known], [x[known] for x in of_words], buckets, answers[-WORDS])
+        yield from _asked(seg, PAIR_STATES, self.pair_hash[order], [x[order] for x in of_pairs], buckets, answers[-PAIRS])
+
+    def backs(self, arcs: Arcs, answers: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the failure arcs' weights, from the sums over all segments."""
+        of_words, of_pairs = np.zeros((2, len(self.words))), np.zeros((2, len(self.pairs)))
+        of_words[:, self.counts > 0] = answers[WORD_STATES]
+        of_pairs[:, self.kept_order] = answers[PAIR_STATES]
+        return arcs.backs(tuple(of_words), tuple(of_pairs))
 
 
 def _in_order(answer: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -277,8 +340,11 @@ def _segments(least: int):
         def segment() -> pa.RecordBatch:
             nonlocal number
             doc_id, null, train, h, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
-            words, ids = np.unique(h, return_inverse=True)
-            data = pickle.dumps((doc_id, null, train, words, pack(ids), np.concatenate([[0], np.cumsum(lengths)])))
+            words, ids, counts = np.unique(h, return_inverse=True, return_counts=True)
+            by = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which pack well
+            rank = np.empty(len(by), dtype=np.int64)
+            rank[by] = np.arange(len(by))
+            data = pickle.dumps((doc_id, null, train, words[by], pack(rank[ids]), np.concatenate([[0], np.cumsum(lengths)])))
             held.clear()
             number += 1
             return _row(number, -1, TEXTS, data, None)
@@ -306,21 +372,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(batch.column(c).to_pylist() for c in ("seg", "bucket", "kind", "a", "b")), strict=True)
 
 
-def _asked(seg: int, kind: int, keys: np.ndarray, values: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Sorted keys and their values, dealt to buckets by the keys' upper bits; zeros are left out."""
-    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def _asked(seg: int, kind: int, hashes: np.ndarray, values: list[np.ndarray], buckets: int, numbers: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted hashes, or the numbers that stand for them, and their values, dealt to buckets by the hashes' upper bits."""
+    of = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cut = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
-    some = np.any([v != 0 for v in values], axis=0)
     for bucket in range(buckets):
         at = slice(cut[bucket], cut[bucket + 1])
         if at.start < at.stop:
-            yield _row(seg, bucket, kind, pack_keys(keys[at]), pickle.dumps((np.packbits(some[at]).tobytes(), *(pack(v[at][some[at]]) for v in values))))
+            yield _row(seg, bucket, kind, pack_keys((hashes if numbers is None else numbers)[at].astype(np.uint64)), pack_values([v[at] for v in values]))
+
+
+def pack_values(values: list[np.ndarray]) -> bytes:
+    """Whole numbers from zero on, most of them zero."""
+    some = np.any([v != 0 for v in values], axis=0)
+    return pickle.dumps((len(some), np.packbits(some).tobytes(), *(pack(v[some]) for v in values)))
 
 
-def _values(data: bytes, n: int) -> list[np.ndarray]:
-    some, *values = pickle.loads(data)
+def unpack_values(data: bytes) -> np.ndarray:
+    n, some, *values = pickle.loads(data)
     at = np.unpackbits(np.frombuffer(some, dtype=np.uint8), count=n).astype(bool)
-    out = [np.zeros(n) for _ in values]
+    out = np.zeros((len(values), n), dtype=np.int64)
     for o, v in zip(out, values, strict=True):
         o[at] = unpack(v)
     return out
@@ -350,11 +421,7 @@ def _ask_states(root: float, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seg, s, answers in _gathered(batches):
             s.keep_pairs(answers)
-            arcs, speaks = s.arcs(answers, root)
-            taken, lower, pair_taken, pair_lower = arcs.sums(s.pair_speaks, speaks)
-            words, pairs, hashes, order = s.states()
-            values = [np.concatenate([w[words], p[pairs]])[order] for w, p in ((taken, pair_taken), (lower, pair_lower))]
-            yield from _asked(seg, STATES, hashes[order], values, buckets)
+            yield from s.ask_states(*s.arcs(answers, root), answers, seg, buckets)
 
     return run
 
@@ -363,46 +430,58 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums the values of a key over all segments and answers each segment in the order it asked.
 
     A count is answered twice over, plus one to the segment that speaks for its key;
-    b of one row: training tokens and distinct words.
+    b: the numbers of the words and pairs that are kept. Totals: training tokens and
+    distinct words.
     """
     asked = defaultdict(list)
     for seg, bucket, kind, keys, values in _rows(batches):
-        asked[kind].append((seg, bucket, keys := unpack_keys(keys), _values(values, len(keys))))
+        asked[kind].append((seg, bucket, unpack_keys(keys), unpack_values(values)))
     for kind, got in asked.items():
-        keys, first, at = np.unique(np.concatenate([x[2] for x in got]), return_index=True, return_inverse=True)
-        sums = [np.bincount(at, np.concatenate(v), len(keys)) for v in zip(*(x[3] for x in got), strict=True)]
-        told = None
-        if kind == STATES:
-            answer = backoff(*sums)[at]
+        all_keys, cut = np.concatenate([x[2] for x in got]), np.cumsum([0, *(len(x[2]) for x in got)])
+        values = np.concatenate([x[3] for x in got], axis=1)
+        if kind in (WORD_STATES, PAIR_STATES):
+            at = all_keys.astype(np.int64)
+            sums = [np.bincount(at, v).astype(np.int64) for v in values]
+            for (seg, bucket, *_), a, b in zip(got, cut[:-1], cut[1:], strict=True):
+                yield _row(seg, bucket, kind, pack_values([x[at[a:b]] for x in sums]), None)
+            continue
+        keys, first, at = np.unique(all_keys, return_index=True, return_inverse=True)
+        count = np.bincount(at, values[0], len(keys)).astype(np.int64)
+        if kind == WORDS:
+            yield _row(-1, got[0][1], TOTALS, b"", pickle.dumps((int(count.sum()), int((count > 0).sum()))))
         else:
-            count = sums[0].astype(np.int64)
-            if kind == WORDS:
-                told = pickle.dumps((int(count.sum()), int((count > 0).sum())))
-            else:
-                count[count < MIN_COUNT] = 0
-            answer = 2 * count[at]
-            answer[first[count > 0]] += 1
-        cut = np.cumsum([0, *(len(x[2]) for x in got)])
+            count[count < MIN_COUNT] = 0
+        number = np.cumsum(count > 0) - 1
+        answer = 2 * count[at]
+        answer[first[count > 0]] += 1
         for (seg, bucket, *_), a, b in zip(got, cut[:-1], cut[1:], strict=True):
-            yield _row(seg, bucket, kind, pack(answer[a:b]), told)
-            told = None
+            kept = number[at[a:b]][answer[a:b] > 0]
+            yield _row(seg, bucket, kind, pack(answer[a:b]), None if kind == TRIPLES else pack_keys(kept.astype(np.uint64)))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Segment, dict[int, np.ndarray]]]:
-    """Each segment with the answers it got; rows come by segment and bucket, the texts first."""
+    """Each segment with the answers it got, those of a kind in the order of buckets.
+
+    Rows come by segment and bucket, the texts first; the numbers of what is kept
+    are under the kind's negative.
+    """
     seg, texts, parts = None, b"", {}
 
     def whole() -> tuple[int, Segment, dict[int, np.ndarray]]:
-        return seg, Segment(texts), {k: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for k, v in parts.items()}
+        empty = lambda k: np.zeros((2, 0) if k in (WORD_STATES, PAIR_STATES) else 0, dtype=np.int64)
+        return seg, Segment(texts), {k: np.concatenate(v, axis=-1) if v else empty(k) for k, v in parts.items()}
 
-    for number, _, kind, data, _ in _rows(batches):
+    for number, _, kind, data, more in _rows(batches):
         if kind == TEXTS:
             if seg is not None:
                 yield whole()
-            seg, texts, parts = number, data, {WORDS: [], PAIRS: [], TRIPLES: [], STATES: []}
+            seg, texts, parts = number, data, {k: [] for k in (WORDS, -WORDS, PAIRS, -PAIRS, TRIPLES, WORD_STATES, PAIR_STATES)}
+        elif kind in (WORD_STATES, PAIR_STATES):
+            parts[kind].append(unpack_values(data))
         else:
-            got = unpack(data)
-            parts[kind].append(got if kind == STATES else got.astype(np.int64))
+            parts[kind].append(unpack(data).astype(np.int64))
+            if more is not None:
+                parts[-kind].append(unpack_keys(more).astype(np.int64))
     if seg is not None:
         yield whole()
 
@@ -413,12 +492,8 @@ def _scored(root: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s, answers in _gathered(batches):
             s.keep_pairs(answers)
-            words, pairs, hashes, order = s.states()
-            back = np.zeros(len(hashes))
-            back[order] = answers[STATES]
-            word_back, pair_back = np.zeros(len(s.words)), np.zeros(len(s.pairs))
-            word_back[words], pair_back[pairs] = back[: len(words)], back[len(words) :]
-            got = s.arcs(answers, root)[0].automaton(word_back, pair_back).score(s.words[s.ids], s.runs)
+            arcs, _ = s.arcs(answers, root)
+            got = arcs.automaton(*s.backs(arcs, answers)).score(s.words[s.ids], s.runs)
             yield pa.RecordBatch.from_arrays([pa.array(s.doc_id, pa.int64(), mask=s.null), pa.array(s.train), *(pa.array(got[k]) for k in names)], names=["doc_id", "train", *names])
 
     return run
@@ -443,11 +518,11 @@ def score_texts(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     def with_answers(*answers: DataFrame) -> DataFrame:
         rows = texts
         for x in answers:
-            rows = rows.unionByName(x.withColumn("b", F.lit(None).cast("binary")))
+            rows = rows.unionByName(x.where(F.col("kind") != TOTALS))
         return rows.repartition(buckets, "seg").sortWithinPartitions("seg", "bucket", "kind")
 
     pairs = answered(_ask_pairs(buckets))
-    told = [pickle.loads(r.b) for r in pairs.where("b is not null").select("b").toLocalIterator()]
+    told = [pickle.loads(r.b) for r in pairs.where(F.col("kind") == TOTALS).select("b").toLocalIterator()]
     total, distinct = sum(x[0] for x in told), sum(x[1] for x in told)
     root = root_of(total, distinct)
     triples = answered(_ask_triples(buckets), pairs)
