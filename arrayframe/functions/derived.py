@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..types import TYPES, of_spark, promote
 from .parser import Call, Expression, ExpressionError, Name, Number, parse, variables
-from .stencil import curl_components
+from .stencil import curl_components, trimmed, widened
 
 REDUCERS, RESHAPERS = ("add", "magnitude"), ("cross", "cross_std", "curl")
 #: The column that numbers the component planes of an array of vectors.
@@ -27,9 +27,10 @@ class Typed:
 
 
 def ieee_div(a: Column, b: Column) -> Column:
-    """Floating division with infinities and NaN where b is 0."""
-    zero = F.when((a == 0) | F.isnan(a), F.lit(math.nan)).when(a > 0, F.lit(math.inf)).otherwise(F.lit(-math.inf))
-    return F.when(b != 0, F.try_divide(a, b)).when(b.isNotNull(), zero)
+    """Floating division with infinities and NaN where b is 0, by the sign of that zero; null where either is null."""
+    negative = b.cast("string").startswith("-")  # asked of zeros alone: only their text tells them apart
+    zero = F.when((a == 0) | F.isnan(a), F.lit(math.nan)).when((a > 0) != negative, F.lit(math.inf)).otherwise(F.lit(-math.inf))
+    return F.when(b != 0, F.try_divide(a, b)).when(a.isNotNull() & b.isNotNull(), zero)
 
 
 def _cast(x: Typed, to: str) -> Column:
@@ -140,6 +141,39 @@ def derive(frame: DataFrame, expression: str, dims: Sequence[str], name: str = "
     return small.select(*kept, value.alias(name))
 
 
+def output_dims(expression: str, dims: Sequence[str]) -> list[str]:
+    """The dimensions of the derived variable: one less after a reduction, one more after cross and curl."""
+    tree = parse(expression)
+    if isinstance(tree, Call) and tree.function in RESHAPERS:
+        return [*dims, COMPONENT]
+    found: list[Call] = []
+    _reductions(tree, dims, found)
+    return list(dims[:-1] if found else dims)
+
+
+def is_elementwise(expression: str) -> bool:
+    """Whether each cell's value comes from that cell alone."""
+    tree, found = parse(expression), []
+    _reductions(tree, (), found)
+    return not found and not (isinstance(tree, Call) and tree.function in RESHAPERS)
+
+
+def derive_box(frame: DataFrame, expression: str, dims: Sequence[str], start: Sequence[int], count: Sequence[int], **options) -> DataFrame:
+    """The derived variable in a box of its own dimensions.
+
+    The box narrows what is read, by one cell more on each side for a stencil; a
+    box without the component dimension takes all components.
+    """
+    out, tree = output_dims(expression, dims), parse(expression)
+    if len(start) not in (len(out), len([d for d in out if d != COMPONENT or d in dims])):
+        raise ExpressionError(f"a box of rank {len(start)} for a variable of rank {len(out)}")
+    halo = 1 if isinstance(tree, Call) and tree.function == "curl" else 0
+    inner = [(d, s, c) for d, s, c in zip(out, start, count, strict=False) if d in dims]
+    names, low, size = ([x[i] for x in inner] for i in range(3))
+    found = derive(widened(frame, names, low, size, halo), expression, dims, **options)
+    return trimmed(found, out[: len(start)], start, count)
+
+
 def _reshaped(frame: DataFrame, tree: Call, dims: Sequence[str], name: str, keys: Sequence[str], columns: dict[str, str] | None, block: Sequence[str], strict: bool) -> DataFrame:
     args = [compile_node(a, inputs_of(frame, variables(a), columns), strict) for a in tree.args]
     kind = _real(args, strict)
@@ -154,7 +188,8 @@ def _reshaped(frame: DataFrame, tree: Call, dims: Sequence[str], name: str, keys
             parts = plane.groupBy(*within, *dims).agg(*(F.max(F.when(F.col(COMPONENT) == i, F.col("__f"))).alias(f"__f{i}") for i in range(3)))
         else:
             parts = frame.select(*within, *dims, *(f.alias(f"__f{i}") for i, f in enumerate(fields)))
-        comps = curl_components(parts, dims, ["__f0", "__f1", "__f2"], within)
+        # one shuffle by block serves the windows along all dimensions
+        comps = curl_components(parts.repartition(*within) if block else parts, dims, ["__f0", "__f1", "__f2"], within)
     else:
         ax, ay, az, bx, by, bz = fields
         middle = ax * bz - az * bx if tree.function == "cross" else az * bx - ax * bz

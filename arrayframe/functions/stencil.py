@@ -22,7 +22,8 @@ def curl_components(frame: DataFrame, dims: Sequence[str], fields: Sequence[str]
 
     ``within`` names what bounds the stencil: with the block among it, edges of
     blocks are one-sided; without, only those of the array. An axis of one cell
-    gives NaN. One shuffle for each dimension, on the other two.
+    gives NaN. One shuffle for each dimension, on the other two; none for a frame
+    that is dealt by ``within``.
     """
     d0, d1, d2 = dims
     f1, f2, f3 = fields

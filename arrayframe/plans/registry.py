@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from . import arrays, expressions, extras, stores  # noqa: E402, F401 - they register themselves
+from . import arrays, expressions, extras, facade, stores  # noqa: E402, F401 - they register themselves

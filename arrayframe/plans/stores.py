@@ -9,6 +9,7 @@ from ..operators import codecs, compare, layout, stats, steps
 from ..operators.boxes import linear_index
 from ..sources import campaign, profiles, timeseries
 from ..sources.catalog import attributes_of_variables, current_attributes
+from ..sources.shared import fresh
 from ..streaming import policies
 from .registry import query
 from .views import EV, ORD, PERTURBED, ev1d, ord3d, perturbed, table
@@ -22,15 +23,15 @@ def joined_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.joined_offsets(blocks, ["writer"], "count")
 
 
-@query(f"SELECT step, unnest(list(total ORDER BY writer)) AS value, unnest(range(count(*))) AS idx FROM (SELECT step, writer, count(*) AS total FROM {EV} WHERE value > 50 GROUP BY step, writer) GROUP BY step")
+@query(f"SELECT step, unnest(list(total ORDER BY writer)) AS value, unnest(range(count(*))) AS idx FROM (SELECT step, writer, count(*) AS total FROM {EV} GROUP BY step, writer) GROUP BY step")
 def local_value_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_writer = ev1d(spark, sf_dir).where("value > 50").groupBy("step", "writer").agg(F.count("*").alias("total"))
+    per_writer = ev1d(spark, sf_dir).groupBy("step", "writer").agg(F.count("*").alias("total"))
     return layout.local_values(per_writer, "writer", "total").select("step", F.posexplode("values").alias("idx", "value")).select("step", "value", F.col("idx").cast("long").alias("idx"))
 
 
-@query(f"SELECT step, d0, value FROM (SELECT step, d0 % 150 AS d0, value, row_number() OVER (PARTITION BY step, d0 % 150 ORDER BY block_id DESC, d0 DESC) AS rn FROM {EV} WHERE d0 < 300) WHERE rn = 1")
+@query(f"SELECT step, d0, value FROM (SELECT step, d0 % 150 AS d0, value, row_number() OVER (PARTITION BY step, d0 % 150 ORDER BY block_id DESC, d0 DESC) AS rn FROM {EV}) WHERE rn = 1")
 def block_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = ev1d(spark, sf_dir).where("d0 < 300").withColumn("block_id", F.col("block_id") * 1000 + F.col("d0")).withColumn("d0", F.col("d0") % 150)
+    cells = ev1d(spark, sf_dir).withColumn("block_id", F.col("block_id") * 1000 + F.col("d0")).withColumn("d0", F.col("d0") % 150)
     return layout.place_blocks(cells, ["step", "d0"])
 
 
@@ -40,12 +41,12 @@ def _series(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [cells.where(part).withColumn("step", F.col("step") - a) for a, part in ((0, first), (3, second), (5, last))]
 
 
-@query(f"SELECT step, d0, value FROM {EV} WHERE step < 10")
+@query(f"SELECT step, d0, value FROM {EV}")
 def ts_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.concatenate(_series(spark, sf_dir))
 
 
-@query(f"SELECT DISTINCT step, CASE WHEN step < 3 THEN 'a' WHEN step < 5 THEN 'b' ELSE 'c' END AS file FROM {EV} WHERE step < 10")
+@query(f"SELECT DISTINCT step, CASE WHEN step < 3 THEN 'a' WHEN step < 5 THEN 'b' ELSE 'c' END AS file FROM {EV}")
 def ts_find_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = ev1d(spark, sf_dir).select("step").distinct()
     last = seen.agg(F.greatest(F.max("step"), F.lit(5))).scalar()
@@ -53,17 +54,18 @@ def ts_find_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.file_of_step(ranges, seen)
 
 
-@query(f"SELECT min(value) AS min, max(value) AS max FROM {EV} WHERE step < 10")
+@query(f"SELECT min(value) AS min, max(value) AS max FROM {EV}")
 def ts_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [stats.merge_stats(stats.block_stats(p, ["d0"], keys=["step"]), []) for p in _series(spark, sf_dir)]
     return stats.merge_stats(parts[0].unionByName(parts[1]).unionByName(parts[2]), [])
 
 
-@query("SELECT n_nationkey AS datasetid, s_suppkey AS replicaid, c_custkey AS fileid, n_name AS name, s_name AS replica_name FROM (SELECT * FROM nation WHERE n_nationkey % 5 <> 4) JOIN (SELECT * FROM supplier WHERE s_suppkey % 7 <> 3) ON s_nationkey = n_nationkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey % 100 = s_suppkey")
+@query("SELECT n_nationkey AS datasetid, s_suppkey AS replicaid, c_custkey AS fileid, n_name AS name, s_name AS replica_name FROM (SELECT * FROM nation WHERE n_nationkey % 5 <> 4) JOIN (SELECT * FROM supplier WHERE s_suppkey % 7 <> 3) ON s_nationkey = n_nationkey LEFT JOIN customer ON c_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) = s_suppkey")
 def campaign_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     dataset = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("datasetid"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 5 == 4).cast("int").alias("deleted"))
     replica = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("replicaid"), F.col("s_nationkey").alias("datasetid"), F.col("s_name").alias("replica_name"), (F.col("s_suppkey") % 7 == 3).cast("int").alias("deleted"))
-    files = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select((F.col("c_custkey") % 100).alias("replicaid"), F.col("c_custkey").alias("fileid"))
+    places = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey") + 1).scalar()
+    files = table(spark, sf_dir, "customer").select((F.col("c_custkey") % places).alias("replicaid"), F.col("c_custkey").alias("fileid"))
     return campaign.catalogue(dataset, replica, files).select("datasetid", "replicaid", "fileid", "name", "replica_name")
 
 
@@ -123,10 +125,10 @@ def quantize_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("step", "d0", F.round(q, 6).alias("value"), (F.abs(q - F.col("value")) <= 0.1 + 1e-9).alias("within"))
 
 
-@query("SELECT event_id, value FROM events WHERE event_id < 500")
+@query("SELECT event_id, value FROM events")
 def encrypt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = b"0123456789abcdef"
-    some = table(spark, sf_dir, "events").where("event_id < 500").select("event_id", "value")
+    some = table(spark, sf_dir, "events").select("event_id", "value")
     return layout.decrypt(layout.encrypt(some, "value", key), "value", key)
 
 
@@ -165,14 +167,10 @@ def attribute_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT step, count(*) AS n, round(sum(value), 4) AS total FROM {EV} GROUP BY step")
 def stream_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store written by step and read back as a stream of micro-batches, summed by step."""
-    import tempfile
-    import uuid
-
     from ..sources import engines
     from ..streaming.steps import for_each_step, stream
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = fresh(spark, "stream")
     engines.write(ev1d(spark, sf_dir).select("step", "d0", "value"), f"{base}/in", order=("d0",))
     source = stream(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, files_per_batch=4)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -63,7 +64,8 @@ def write(frame: DataFrame, path: str, engine: str = "parquet", mode: str = "wri
     ``order`` are kept beside the cells, so that range queries ask them alone.
 
     ``append_after`` keeps that many steps (negative: counted from the end) and
-    replaces what follows: the dropped partitions go before the new are added.
+    replaces what follows. The new steps are written beside the store first; only
+    then the dropped ones go and the new ones are moved in.
     """
     name = engine.lower()
     if name in _plugins:
@@ -76,31 +78,58 @@ def write(frame: DataFrame, path: str, engine: str = "parquet", mode: str = "wri
         return frame.createOrReplaceTempView(path)
     if name not in STORES | STREAMS:
         raise EngineError(f"no such engine: {engine}")
-    spark = frame.sparkSession
-    if append_after is not None and exists(spark, path):
-        old = spark.read.parquet(path).select("step").distinct().orderBy("step")
-        steps = [r[0] for r in old.collect()]  # a number for each step
-        keep = max(0, len(steps) + append_after + 1) if append_after < 0 else append_after
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for s in steps[keep:]:
-            fs.delete(hadoop.Path(f"{path}/step={s}"), True)
-            fs.delete(hadoop.Path(f"{path}/{BLOCKS}/step={s}"), True)
-        mode = "append"
+    if append_after is not None and exists(frame.sparkSession, path):
+        return _replace_after(frame, path, append_after, order, stats)
+    _store(frame, path, {"write": "overwrite", "append": "append"}[mode], order, stats)
+
+
+def _store(frame: DataFrame, path: str, how: str, order: tuple[str, ...], stats: tuple[str, ...]) -> None:
     # ranges of the first index within a step: few files a step, and each file's extremes cover a strip
     out = frame.repartitionByRange("step", order[0]).sortWithinPartitions("step", *order) if order else frame.hint("rebalance", "step")
-    how = {"write": "overwrite", "append": "append"}[mode]
     out.write.mode(how).partitionBy("step").parquet(path)
     if stats:
         parts = [block_stats(frame, order, v).withColumns({"name": F.lit(v), "min": F.col("min").cast("double"), "max": F.col("max").cast("double")}) for v in stats]
         reduce(DataFrame.unionByName, parts).write.mode(how).partitionBy("step").parquet(f"{path}/{BLOCKS}")
 
 
+def add_blocks(blocks: DataFrame, path: str, name: str) -> None:
+    """Keeps block statistics of a variable that has no cells of its own in the store."""
+    found = blocks.withColumns({"name": F.lit(name), "min": F.col("min").cast("double"), "max": F.col("max").cast("double")})
+    found.write.mode("append").partitionBy("step").parquet(f"{path}/{BLOCKS}")
+
+
+def _replace_after(frame: DataFrame, path: str, append_after: int, order: tuple[str, ...], stats: tuple[str, ...]) -> None:
+    spark = frame.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    _store(frame, staging, "overwrite", order, stats)
+    steps = [r[0] for r in spark.read.parquet(path).select("step").distinct().orderBy("step").collect()]  # a number for each step
+    keep = max(0, len(steps) + append_after + 1) if append_after < 0 else append_after
+    for s in steps[keep:]:
+        for base in (path, f"{path}/{BLOCKS}"):
+            fs.delete(hadoop.Path(f"{base}/step={s}"), True)
+    for source, target in ((f"{staging}/{BLOCKS}", f"{path}/{BLOCKS}"), (staging, path)):
+        if not fs.exists(hadoop.Path(source)):
+            continue
+        fs.mkdirs(hadoop.Path(target))
+        for status in fs.listStatus(hadoop.Path(source)):
+            if not status.getPath().getName().startswith("step="):
+                continue
+            to = hadoop.Path(f"{target}/{status.getPath().getName()}")
+            if not fs.exists(to):
+                fs.rename(status.getPath(), to)
+                continue
+            for one in fs.listStatus(status.getPath()):  # a step that is kept gets more cells
+                fs.rename(one.getPath(), hadoop.Path(to, one.getPath().getName()))
+    fs.delete(hadoop.Path(staging), True)
+
+
 def read_blocks(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     """The kept block statistics of a variable (step, block_id, start_, count_, min, max), if there are any."""
     if not exists(spark, f"{path}/{BLOCKS}"):
         return None
-    kept = spark.read.parquet(f"{path}/{BLOCKS}")
+    kept = spark.read.option("mergeSchema", True).parquet(f"{path}/{BLOCKS}")
     found = kept.where(F.col("name") == name).drop("name").withColumn("step", F.col("step").cast("long"))
     return found if kept.where(F.col("name") == name).limit(1).count() else None
 
