@@ -5,23 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the setting is absent (tests on one machine) a temporary folder is made.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="arrayframe-checkpoint-")
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
+from ..sources.shared import shared_dir
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -32,15 +22,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _kept.append(path)
+    keep(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _kept: list[str] = []
 
 
+def keep(path: str) -> None:
+    """Notes a path of the shared folder that ``release`` is to delete."""
+    _kept.append(path)
+
+
 def release(spark: SparkSession) -> None:
-    """Deletes what ``stored`` has written so far; results that still read it must have been written."""
+    """Deletes what the operators have stored so far; results that still read it must have been written."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     while _kept:
         path = hadoop.Path(_kept.pop())
@@ -60,16 +55,20 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of an Arrow batch where the session has Spark's own default: a batch of whole texts is held on both sides of the pipe.
-BATCH_ROWS = 1000
+def unused(columns: Sequence[str], name: str) -> str:
+    """``name``, or the first longer form of it that none of ``columns`` has (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)``, with this package sent to the executors first."""
-    spark = df.sparkSession
-    _ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``df.mapInArrow(run, schema)``, with this package sent to the executors first.
+
+    The session's limits hold for the batches: by default 10,000 rows and 64 MiB.
+    """
+    _ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

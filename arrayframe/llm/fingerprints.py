@@ -1,14 +1,16 @@
 """Operator 6, document fingerprints: a canonical exact digest.
 
-A text is brought to one form (Unicode NFKC, lower case, white space folded to
-single blanks, ends trimmed) and hashed to 128 bits by two seeded xxhash64.
-Equal hashes only make a bucket: texts are grouped by hash and by the canonical
-text itself, which the aggregation compares byte by byte, and a second text in
-one bucket gets a suffix to its fingerprint.
+A text is brought to one form (Unicode NFKC, full case folding, NFKC again, each
+run of Unicode white space one blank, ends trimmed) and hashed to 128 bits by two
+seeded xxhash64. Equal hashes only make a bucket: texts are grouped by hash and
+by the canonical text itself, which the aggregation compares byte by byte, and a
+second text in one bucket gets a suffix to its fingerprint, also where it turns
+up as an edited text.
 
 DataFrame and SQL functions alone. Copies are combined before they move. The
 successor of a document (descending doc_id) comes from a window within ranges
-of ids, each range also holding the first row of the range after it.
+of ids, each range also holding the first row of the range after it. An id that
+fills several ranges (or null) is split among them by its texts' hashes.
 
 Null text counts as empty. Rows that repeat a doc_id follow each other by their
 text's hash; a null doc_id comes last. An empty table gives an empty table; a
@@ -26,8 +28,9 @@ _LEAST = -(2**63)
 
 
 def canonical(text: Column) -> Column:
-    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(composed), r"\s+", " "))
+    composed = lambda x: F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(text), F.lit(True))
+    return F.trim(F.regexp_replace(composed(folded), r"(?U)\s+", " "))
 
 
 def digest(canon: Column) -> list[Column]:
@@ -38,16 +41,25 @@ def _hex(high: Column, low: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0")))
 
 
-def _range(bounds: list[int]) -> Column:
-    """The number of ``bounds`` (ascending, 2**k - 1 of them) below ``sid``: a binary search."""
-    held = F.array(*map(F.lit, bounds)) if bounds else None
+def _below(bounds: list[int], inclusive: bool) -> Column:
+    """How many of ``bounds`` (ascending, 2**k - 1 of them) are below ``sid``, or equal to it: a binary search."""
+    held = F.array(*map(F.lit, bounds))
     steps, size = [], (len(bounds) + 1) // 2
     while size:
         steps.append(size)
         size //= 2
-    if held is None:
+    before = (lambda x: x <= F.col("sid")) if inclusive else (lambda x: x < F.col("sid"))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(before(F.get(held, at + step - 1)), at + step).otherwise(at))
+
+
+def _range(bounds: list[int]) -> Column:
+    """The number of the range, which grows with (sid, the complement of tie)."""
+    if not bounds:
         return F.lit(0)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < F.col("sid"), at + step).otherwise(at))
+    low = _below(bounds, False)
+    share = F.bitwise_not("tie") / F.lit(2.0**64) + F.lit(0.5)  # from 0 to 1
+    # an id that is several bounds at once has as many ranges
+    return low + F.least(F.floor(share * (_below(bounds, True) - low)), F.greatest(_below(bounds, True) - low - 1, F.lit(0))).cast("int")
 
 
 def successors(docs: DataFrame, ranges: int) -> DataFrame:
@@ -92,10 +104,19 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     near_next = F.when((F.col("high") == F.col("next_high")) & (F.col("low") == F.col("next_low")), F.col("canon") == canonical(F.col("next_text"))).otherwise(F.lit(False))
     flat = rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "high", "low", F.sha2("canon", 256).alias("check"),
-        _hex(high, low).alias("edited_fingerprint"),
+        high.alias("edited_high"), low.alias("edited_low"), F.sha2("edited_canon", 256).alias("edited_check"),
         (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"),
         near_next.cast("double").alias("near_next"),
     )
-    flat = flat.join(groups(docs), ["high", "low", "check"], "left")
-    own = F.concat(_hex(F.col("high"), F.col("low")), F.when(F.col("place") > 0, F.concat(F.lit("-"), F.col("place"))).otherwise(F.lit("")))
-    return flat.select("doc_id", "n_chars", "edited_sha256", own.alias("fingerprint"), F.when(F.col("near_edited") == 1, own).otherwise(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", "group_id", "group_size")
+    found = groups(docs)
+    # texts beyond the first of their bucket: none is expected, so it is a tiny table
+    second = found.where("place > 0").select(F.col("high").alias("edited_high"), F.col("low").alias("edited_low"), F.col("check").alias("edited_check"), F.col("place").alias("edited_place"))
+    flat = flat.join(found, ["high", "low", "check"], "left").join(second, ["edited_high", "edited_low", "edited_check"], "left")
+    own = _named(F.col("high"), F.col("low"), F.col("place"))
+    edited = _named(F.col("edited_high"), F.col("edited_low"), F.col("edited_place"))
+    return flat.select("doc_id", "n_chars", "edited_sha256", own.alias("fingerprint"), edited.alias("edited_fingerprint"), "near_edited", "near_next", "group_id", "group_size")
+
+
+def _named(high: Column, low: Column, place: Column) -> Column:
+    """The fingerprint: the digest, and the text's place in its bucket if it is not the first."""
+    return F.concat(_hex(high, low), F.when(place > 0, F.concat(F.lit("-"), place)).otherwise(F.lit("")))

@@ -4,9 +4,10 @@ A text's subwords are the byte trigrams and 4-grams of its words (letters as
 they are, A-Z folded, everything else a blank that only ends a subword). Each
 hashes to a row of an embedding table; the mean row goes through a linear
 softmax. Table and layer are trained together by stochastic gradient descent in
-numpy on the driver, from a bounded sample of labelled rows (``PER_LANGUAGE``
-texts of at most ``TRAIN_CHARS`` characters for each label, picked by the hash
-of their id). A temperature fitted on a part of the sample makes scores
+numpy on the driver, from a bounded sample of labelled rows (about
+``PER_LANGUAGE`` texts for each label, of any length, picked by the hash of their
+id). Their subwords are counted on the executors; the driver gets the counts of
+at most ``BUCKETS`` different ones a text. A temperature fitted on a part of the sample makes scores
 probabilities, and sets the score below which a text is rejected.
 
 For a linear layer the mean commutes with it, so prediction adds one row of
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import crc_remainder, in_batches
+from .common import crc_remainder, in_batches, unused
 
-PER_LANGUAGE, TRAIN_CHARS = 500, 20_000
+PER_LANGUAGE = 500
 BUCKETS, SIZE, EPOCHS, STEPS, BATCH, RATE = 1 << 15, 8, 6, 500, 32, 4.0
 #: Share of rightly labelled sample texts that calibration lets be rejected.
 REJECTED = 0.002
@@ -89,20 +90,27 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def bags_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's buckets with their shares of its subwords."""
+    for chunk in tokens.chunks(column, CHUNK_BYTES):
+        at, row = subwords(chunk)
+        cut = np.searchsorted(np.sort(row), np.arange(chunk.last - chunk.first + 1))
+        at = at[np.argsort(row, kind="stable")]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            keys, count = np.unique(at[lo:hi], return_counts=True)
+            yield keys.astype(np.int32), (count / max(1, hi - lo)).astype(np.float32)
+
+
 def fit(texts: list[str], labels: list[str], seed: int = 0) -> Model | None:
     """The model from labelled texts; None without any."""
+    return fit_bags(list(bags_of(pa.array(texts, pa.string()))), labels, seed)
+
+
+def fit_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 0) -> Model | None:
     languages = sorted(set(labels))
     if not languages:
         return None
     want = np.array([languages.index(x) for x in labels])
-    bags = []
-    for chunk in tokens.chunks(pa.array(texts, pa.string()), CHUNK_BYTES):
-        at, row = subwords(chunk)
-        cut = np.searchsorted(np.sort(row), np.arange(chunk.last - chunk.first + 1))
-        at = at[np.argsort(row, kind="stable")]
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            keys, count = np.unique(at[lo:hi], return_counts=True)
-            bags.append((keys.astype(np.int32), (count / max(1, hi - lo)).astype(np.float32)))
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 1 / SIZE, (BUCKETS, SIZE))
     layer, bias = np.zeros((SIZE, len(languages))), np.zeros(len(languages))
@@ -150,9 +158,19 @@ def train(docs: DataFrame) -> Model | None:
         return None
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, PER_LANGUAGE / n)))))
     place = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sample = labelled.where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS) & (place < share[F.col("lang")]))
-    got = sample.select("doc_id", "text", "lang").limit(2 * PER_LANGUAGE * len(counts)).toArrow().sort_by("doc_id")
-    return fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    sample = labelled.where(F.col("text").isNotNull() & (place < share[F.col("lang")])).select(F.xxhash64("doc_id", "text").alias("key"), "lang", "text")
+    counted = in_batches(sample, _counted, "key bigint, lang string, buckets array<int>, shares array<float>")
+    got = counted.limit(2 * PER_LANGUAGE * len(counts)).toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
+    bags = [(np.array(k, dtype=np.int32), np.array(w, dtype=np.float32)) for k, w in ((got.column(c)[i].values for c in ("buckets", "shares")) for i in range(len(got)))]
+    return fit_bags(bags, got.column("lang").to_pylist())
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bags = list(bags_of(batch.column("text")))
+        ends = pa.array(np.cumsum([0, *(len(k) for k, _ in bags)]).astype(np.int32))
+        parts = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([b[i] for b in bags]) if bags else np.zeros(0), kind)) for i, kind in ((0, pa.int32()), (1, pa.float32()))]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), *parts], names=["key", "lang", "buckets", "shares"])
 
 
 def _predicted(shared):
@@ -187,7 +205,7 @@ def _accepting(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            p = model.probabilities(batch.column("text"))
+            p = model.probabilities(batch.column(batch.schema.get_field_index("text")))
             letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             yield batch.select(batch.schema.names[:-1]).filter(pa.array(letters & (p.max(axis=1) >= model.threshold)))
 
@@ -200,4 +218,4 @@ def identified(docs: DataFrame) -> DataFrame:
     if model is None:
         return docs.where(F.lit(False))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return in_batches(docs.withColumn("__letters", _letters()), _accepting(shared), docs.schema)
+    return in_batches(docs.withColumn(unused(docs.columns, "letters"), _letters()), _accepting(shared), docs.schema)

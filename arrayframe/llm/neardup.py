@@ -14,11 +14,14 @@ block of members meets a block of members. So every pair that shares a bucket is
 in one component already, or tested. Pairs at the limit of 0.8 share a bucket
 with a chance of 1 - (1 - 0.8**5)**40, all but 1.3e-7.
 
-Classes are named by 64 bits of a 128-bit set digest. Texts without a shingle
-(null, empty, no words) are linked with nothing: their component is their own
-doc_id. Rows that repeat a doc_id each keep a row; a null doc_id joins its class
-and is never the kept one. An empty table gives an empty table; other columns
-are ignored by ``components`` and pass through ``first_of_groups``.
+A class is one 128-bit set digest; it is named by 64 bits of it, and by a hash of
+both halves where two digests share those. Texts without a shingle (null, empty,
+no words) are linked with nothing: their component is their own doc_id. Rows that
+repeat a doc_id each keep a row. In ``components`` a null doc_id joins its class
+and is never the kept one. ``first_of_groups`` keeps one row of each group: the
+least doc_id, else a row without one; of rows that repeat both doc_id and text
+one stays. An empty table gives an empty table; other columns are ignored by
+``components`` and pass through ``first_of_groups``.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import in_batches, partitions_for, stored
+from .common import in_batches, partitions_for, stored, unused
 
 BANDS, ROWS = 40, 5
 SLOTS = BANDS * ROWS
@@ -39,6 +42,8 @@ SLOTS = BANDS * ROWS
 MEMBERS, MINOR, MAJOR = 64, 256, 512
 #: Members up to which a bucket's pairs across components are listed.
 LARGE = 64
+#: Members of a large bucket that go to one task.
+PART = 512
 #: Nodes that a union-find holds before it hands on its forest, and counted edges up to which one task joins all forests.
 FOREST, ONE_TASK = 100_000, 10_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -319,27 +324,39 @@ def _contracted(now: DataFrame, name: str) -> DataFrame:
 
 def _similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Of ``pairs`` (u, hub) those whose full sets have a similarity of 0.8 or more, as (u, v)."""
-    spark = docs.sparkSession
     placed = pairs.select(F.col("u").alias("node"), "hub", F.lit(False).alias("is_hub"))
     blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
     placed = placed.join(blocks, "hub").select("node", "hub", F.pmod(F.xxhash64("node", "hub"), F.col("blocks")).cast("int").alias("block"), "is_hub")
     hubs = blocks.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_hub"))
     roles = placed.unionByName(hubs).join(reps.select("node", "row_key"), "node")
     with_text = docs.select("row_key", "text").join(roles, "row_key")
-    n = partitions_for(spark)
+    n = partitions_for(docs.sparkSession)
     dealt = with_text.select("hub", "block", "is_hub", "node", "text").repartition(n, "hub", "block")
     return in_batches(dealt.sortWithinPartitions("hub", "block", F.desc("is_hub")), _verified(width), "u bigint, v bigint")
 
 
-def components(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text), linked at a similarity of 0.8 or more."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_key, n_shingles, node) of each row, and (node, comp) of the classes that are linked with others."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", row_key())
     signed = stored(in_batches(keyed, _signed(width), "doc_id bigint, row_key bigint, n_shingles bigint, node bigint, node2 bigint, bands array<bigint>"), "signatures")
+    # digests that share a name: none is expected, and each then gets a name of its own
+    halves = signed.where("n_shingles > 0").groupBy("node").agg(F.min("node2").alias("low"), F.max("node2").alias("high"))
+    clashes = stored(halves.where("low <> high").select(F.col("node").alias("clash")), "digest-clashes")
+    signed = signed.join(clashes, F.col("node") == F.col("clash"), "left")
+    signed = signed.withColumn("node", F.when(F.col("clash").isNotNull(), F.xxhash64("node", "node2")).otherwise(F.col("node"))).drop("clash", "node2")
     # one row stands for its class; its text is found again by row_key
     picked = signed.where("n_shingles > 0").groupBy("node").agg(F.min("row_key").alias("row_key"))
     reps = stored(signed.drop("node").join(picked, "row_key").dropDuplicates(["node"]).select("node", "row_key", "bands"), "classes")
-    whole = _linked(signed, reps, keyed, width)
+    return signed.drop("bands"), _linked(signed, reps, keyed, width)
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+
 
+def components(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text), linked at a similarity of 0.8 or more."""
+    signed, whole = _classes(docs, width)
     least = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(whole, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     label = named.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -349,28 +366,35 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _with_bucket(members: DataFrame, of: DataFrame) -> DataFrame:
+    """``members`` of buckets joined with a row for each bucket; both have the bucket's size, by which a large one is dealt in parts."""
+    parts = F.floor(F.col("size") / PART)
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("node"), parts + 1))
+    return dealt.join(of.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts))), ["band", "bucket", "size", "part"]).drop("part")
+
+
 def _linked(signed: DataFrame, reps: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
     """(node, comp) of the classes that are linked with others."""
     banded = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(banded.join(buckets, ["band", "bucket"]), "buckets")
     reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
-    ranked = shared.join(reach, "node").select("band", "bucket", "node", F.struct("reach", "node").alias("rank"))
-    hubs = ranked.groupBy("band", "bucket").agg(F.max("rank").alias("rank")).select("band", "bucket", F.col("rank.node").alias("hub"))
-    starred = shared.join(hubs, ["band", "bucket"]).where("node <> hub")
+    ranked = shared.join(reach, "node").select("band", "bucket", "size", F.struct("reach", "node").alias("rank"))
+    hubs = ranked.groupBy("band", "bucket", "size").agg(F.max("rank").alias("rank")).select("band", "bucket", "size", F.col("rank.node").alias("hub"))
+    starred = _with_bucket(shared, hubs).where("node <> hub")
     first = stored(starred.select(F.col("node").alias("u"), "hub").distinct(), "hub-pairs")
     edges = stored(_similar(first, reps, keyed, width), "hub-links")
     comp = stored(connected(edges), "hub-components")
 
     # what one bucket still holds in several components is compared across them
     members = stored(shared.join(comp, "node", "left").select("band", "bucket", "size", "node", F.coalesce("comp", "node").alias("comp")), "bucket-members")
-    mixed = members.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "bucket")
-    mixed = stored(members.join(mixed, ["band", "bucket"]), "mixed-buckets")
+    mixed = members.groupBy("band", "bucket", "size").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "bucket", "size")
+    mixed = stored(_with_bucket(members, mixed), "mixed-buckets")
 
     # large buckets: what they join is one group, all pairs of which are tested, a block against a block
     large = mixed.where(F.col("size") > LARGE)
-    hub_of = large.groupBy("band", "bucket").agg(F.min("comp").alias("hub"))
-    across = large.join(hub_of, ["band", "bucket"]).where("comp <> hub").select(F.col("comp").alias("u"), F.col("hub").alias("v")).distinct()
+    hub_of = large.groupBy("band", "bucket", "size").agg(F.min("comp").alias("hub"))
+    across = _with_bucket(large, hub_of).where("comp <> hub").select(F.col("comp").alias("u"), F.col("hub").alias("v")).distinct()
     joined = stored(connected(across).select(F.col("node").alias("comp"), F.col("comp").alias("group")), "groups")
     grouped = stored(large.select("node", "comp").distinct().join(joined, "comp"), "group-members")
     parts = grouped.groupBy("group", "comp").agg(F.count("*").alias("c"))
@@ -399,6 +423,16 @@ def _linked(signed: DataFrame, reps: DataFrame, keyed: DataFrame, width: int) ->
 
 
 def first_of_groups(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group; of rows that repeat a doc_id all stay or go together."""
-    kept = components(docs, width).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    """One row of each group of ``docs``, and all rows without a shingle; all columns stay as they are."""
+    signed, whole = _classes(docs, width)
+    rows = signed.groupBy("row_key", "node", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    linked = rows.where("n_shingles > 0").join(whole, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = linked.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key", "n")).alias("first")).select("first.row_key", "first.n")
+    kept = stored(first.unionByName(rows.where("n_shingles = 0").select("row_key", F.lit(1).cast("long").alias("n"))), "kept-rows")
+    key = unused(docs.columns, "row_key")
+    named = docs.withColumn(key, row_key())
+    of = lambda which: kept.where(which).select(F.col("row_key").alias(key))
+    # rows that repeat doc_id and text are few, and they alone move to be told apart
+    once = named.join(of("n = 1"), key, "left_semi")
+    again = named.join(of("n > 1"), key, "left_semi").dropDuplicates([key])
+    return once.unionByName(again).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -42,6 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(tokenizer_file)
+        #: the least unsigned type that holds the vocabulary's ids
+        self.type = "<u2" if self.exact.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -71,7 +73,7 @@ def _tokenised(tokenizer_file: str | None, ranks_file: str | None):
                 for text in batch.column("text"):
                     got = enc.ids(text.as_py() or "")
                     got.append(END_ID)
-                    ids.append(np.array(got, dtype="<u2").tobytes())
+                    ids.append(np.array(got, dtype=enc.type).tobytes())
                     count.append(len(got))
                 before = local + np.cumsum([0, *count[:-1]])
                 local += sum(count)
@@ -87,7 +89,8 @@ def _cut(window: int):
             doc, place, count = (batch.column(c).to_pylist() for c in ("doc_id", "place", "doc_tokens"))
             out: list[tuple] = []
             for i, ids in enumerate(batch.column("ids")):
-                wide = np.frombuffer(ids.as_py(), dtype="<u2").astype("<u4").tobytes()
+                held = ids.as_py()
+                wide = np.frombuffer(held, dtype="<u2" if len(held) == 2 * count[i] else "<u4").astype("<u4").tobytes()
                 start = 0
                 while start < count[i]:
                     at = place[i] + start

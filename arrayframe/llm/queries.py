@@ -78,7 +78,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_
 _REPEATS = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 base AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols FROM w),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-sizes AS (SELECT doc_id, w, unnest([5, 15, greatest(40, len(w) // 10 + 1)]) AS size, unnest(['n_repeat_words', 'covered_words', 'long']) AS kind FROM w),
+sizes AS (SELECT doc_id, w, unnest([5, 15, least(200, greatest(40, len(w) // 10 + 1))]) AS size, unnest(['n_repeat_words', 'covered_words', 'long']) AS kind FROM w),
 windows AS (SELECT doc_id, kind, size, i, hash(array_to_string(w[i : i + size - 1], ' ')) AS h FROM (SELECT doc_id, kind, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM sizes)),
 found AS (SELECT doc_id, kind, size, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, kind, h) > 1),
 cover AS (SELECT doc_id, kind, count(*) AS words FROM (SELECT DISTINCT doc_id, kind, i + k AS word FROM (SELECT doc_id, kind, i, unnest(range(0, size)) AS k FROM found WHERE kind <> 'long')) GROUP BY ALL),

@@ -4,8 +4,10 @@ Per text a suffix array over its words is built by prefix doubling (all texts
 of a chunk at once: the first rank holds the text's number, so no order or
 match crosses texts). Neighbouring suffixes' longest common prefixes give, for
 each position, the longest substring that begins there and occurs elsewhere in
-the text; these are the maximal repeated substrings with their suffixes. Their
-spans are united, and the covered fraction and the longest repeat are limited.
+the text: that of the deepest LCP interval that holds the suffix, whose span
+takes in those of the intervals around it. So these spans united are the union
+over all maximal repeated substrings, and the longest is a maximal one. The
+covered fraction and the longest repeat are limited.
 
 Nulls and empty texts have no words, fail the base rule and are not kept; rows
 are independent, so repeated rows and ids get equal results; other columns of
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import in_batches
 
-#: Words that a repeat must have to count, the most per cent of the text's words that such repeats may cover, and the words and the per cent of the text at which one repeat is too long.
-MIN_REPEAT, COVERED_PERCENT, LONG_WORDS, LONG_PERCENT = 15, 15, 40, 10
+#: Words that a repeat must have to count, the most per cent of the text's words that such repeats may cover, and the words and the per cent of the text at which one repeat is too long, and the words at which it is in any text.
+MIN_REPEAT, COVERED_PERCENT, LONG_WORDS, LONG_PERCENT, MOST_WORDS = 15, 15, 40, 10, 200
 WINDOW = 5
 #: Bytes whose suffixes are sorted at once.
 CHUNK_BYTES = 1 << 19
@@ -48,7 +50,7 @@ def suffix_ranks(keys: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     fresh = np.ones(n, dtype=bool)
     fresh[1:] = keys[order[1:]] != keys[order[:-1]]
     first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.empty(n, dtype=np.int64)
+    rank = np.empty(n, dtype=np.int32)  # a level is kept for each doubling
     rank[order] = first
     levels, step = [rank], 1
     shared = ~fresh
@@ -59,7 +61,7 @@ def suffix_ranks(keys: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         inside = ahead < end[active]
         second = np.zeros(len(active), dtype=np.int64)
         second[inside] = rank[ahead[inside]] + 1
-        key = rank[active] * np.int64(n + 2) + second
+        key = rank[active].astype(np.int64) * np.int64(n + 2) + second
         by = np.argsort(key, kind="stable")
         active, key = active[by], key[by]
         group = rank[active]
@@ -171,7 +173,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verdict(min_words: int = 10, max_repeat_percent: int = 20) -> tuple:
     """Columns base_failed and kept over the measures."""
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    long = (F.col("longest_repeat") >= LONG_WORDS) & (100 * F.col("longest_repeat") > LONG_PERCENT * F.col("n_words"))
+    long = (F.col("longest_repeat") >= MOST_WORDS) | (F.col("longest_repeat") >= LONG_WORDS) & (100 * F.col("longest_repeat") > LONG_PERCENT * F.col("n_words"))
     wide = 100 * F.col("covered_words") > COVERED_PERCENT * F.col("n_words")
     return base, ~base & ~long & ~wide
 
@@ -189,7 +191,7 @@ def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = measure(batch.column(batch.schema.get_field_index("text")))
         words = got["n_words"]
         base = (words < 10) | (100 * got["n_repeat_words"] > 20 * words)
-        long = (got["longest_repeat"] >= LONG_WORDS) & (100 * got["longest_repeat"] > LONG_PERCENT * words)
+        long = (got["longest_repeat"] >= MOST_WORDS) | (got["longest_repeat"] >= LONG_WORDS) & (100 * got["longest_repeat"] > LONG_PERCENT * words)
         yield batch.filter(pa.array(~base & ~long & ~(100 * got["covered_words"] > COVERED_PERCENT * words)))
 
 

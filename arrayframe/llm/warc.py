@@ -29,11 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, shared_dir, stored
+from .common import in_batches, keep, shared_dir, stored
 
 REVISIT_BYTES = 1000
 #: Bytes at which an archive is closed, pages from which the dictionary is trained (at most), its size and the level.
 ARCHIVE_BYTES, SAMPLE_PAGES, DICTIONARY_BYTES, LEVEL = 32 << 20, 200, 16 << 10, 3
+#: Tasks that read archives, at most; beyond it a task reads several.
+READERS = 50_000
 #: Fixed values of the formats.
 SKIPPABLE, FRAME = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1"
@@ -197,7 +199,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     hashed = pages.select("page_id", F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).alias("bytes")).where(F.col("bytes") >= REVISIT_BYTES)
     # groups of one need no keeper
     keepers = hashed.groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").drop("n")
-    joined = rows.join(keepers, ["digest", "bytes"], "left")
+    # small payloads never meet: they stay out of the join, where all empty pages would share a key
+    joined = rows.where(F.col("bytes") >= REVISIT_BYTES).join(keepers, ["digest", "bytes"], "left")
+    joined = joined.unionByName(rows.where(F.col("bytes") < REVISIT_BYTES).withColumn("keeper", F.lit(None).cast("long")))
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     planned = joined.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
     sample = [bytes(r[0]) for r in pages.select(F.substring(text, 1, 20_000).cast("binary")).limit(SAMPLE_PAGES).collect()]
@@ -205,10 +209,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The records of the manifest's archives, one task for a few of them."""
-    return in_batches(manifest.repartition(F.col("path")), _read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    """The records of the manifest's archives: a task for each archive, up to ``READERS`` tasks."""
+    tasks = max(1, min(READERS, manifest.count()))
+    return in_batches(manifest.repartition(tasks), _read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    keep(folder)
     return read_archives(write_archives(pages, folder))

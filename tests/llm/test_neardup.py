@@ -76,3 +76,25 @@ def test_connected_chain(spark, monkeypatch, one_task):
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (300, 200)]
     got = {r.node: r.comp for r in N.connected(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    near = long + " more"
+    rows = [(None, "alone with a null id in here"), (None, near), (4, long), (2, long), (2, long), (7, "x y"), (7, "x y"), (None, "p q"), (None, "p q"), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, row_key int")
+    got = N.first_of_groups(docs)
+    assert got.columns == docs.columns
+    want = [(None, "alone with a null id in here"), (2, long), (7, "x y"), (None, "p q"), (9, ""), (9, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_digests_that_share_a_name_stay_apart(spark, monkeypatch):
+    rows = [(i, " ".join(f"t{i}x{j}" for j in range(20))) for i in range(4)] + [(9, " ".join(f"t0x{j}" for j in range(20)))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    signed = spark.createDataFrame([(k, k, 20, 5, k % 9, [k % 9]) for k, _ in rows], "doc_id bigint, row_key bigint, n_shingles bigint, node bigint, node2 bigint, bands array<bigint>")
+    monkeypatch.setattr(N, "_signed", lambda width: None)
+    kept = N.in_batches
+    monkeypatch.setattr(N, "in_batches", lambda df, run, schema: signed if run is None else kept(df, run, schema))
+    monkeypatch.setattr(N, "_linked", lambda signed, reps, keyed, width: spark.createDataFrame([], "node bigint, comp bigint"))
+    assert {r.doc_id: r.component_id for r in N.components(frame, 2).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 9: 0}

@@ -1,6 +1,9 @@
 """Operators 1, 2, 4, 6 and 8."""
 
 import hashlib
+import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -124,8 +127,81 @@ def test_encoder_equals_the_tokenizer(text):
     assert packing.encoder(None, None).ids(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_equals_the_tokenizer_on_random_texts():
+    r = random.Random(11)
+    alphabet = [*map(chr, range(32, 127)), *"\n\t\r", *map(chr, range(0xA1, 0x250)), *" '  0123"]
+    enc = packing.encoder(None, None)
+    for _ in range(4000):
+        text = "".join(r.choices(alphabet, k=r.randint(0, 60)))
+        assert enc.ids(text) == TOKENIZER.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 # 6
 
+#: The characters of Unicode's White_Space property.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def plain_canonical(text):
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    return re.sub(f"[{WHITE}]+", " ", folded).strip(" ")
+
+
+def classes(frame):
+    """Which texts have one fingerprint, edited ones as well."""
+    out = {}
+    for r in frame.collect():
+        out.setdefault(r.fingerprint, set()).add((r.doc_id, "own"))
+        out.setdefault(r.edited_fingerprint, set()).add((r.doc_id, "edited"))
+    return sorted(map(sorted, out.values()))
+
+
+def plain_classes(texts):
+    order, out = sorted(texts, reverse=True), {}
+    for i, k in enumerate(order):
+        t, after = texts[k], texts[order[(i + 1) % len(order)]]
+        out.setdefault(plain_canonical(t), set()).add((k, "own"))
+        out.setdefault(plain_canonical(t[: len(t) - len(t) // 2] + after[: len(t) // 2]), set()).add((k, "edited"))
+    return sorted(map(sorted, out.values()))
+
+
+def test_fingerprints_equal_an_independent_canonical_form(docs, texts):
+    assert classes(fingerprints.fingerprint_edits(docs)) == plain_classes(texts)
+
+
+@pytest.mark.parametrize("same_digest", [False, True])
+def test_canonical_forms_of_hard_texts(spark, monkeypatch, same_digest):
+    if same_digest:
+        monkeypatch.setattr(fingerprints, "digest", lambda c: [F.lit(1).cast("long"), F.length(c).cast("long")])
+    some = ["Straße", "STRASSE", "ΟΔΟΣ", "οδοσ", "οδος", "a\u0085b", "a b", "a\u2003 b", "ŉ", "ʼn", "İ", "i̇", "ﬀ", "FF", "Ⅷ", "viii", "x" * 9, "y" * 9, "", "\u3000"]
+    texts = dict(enumerate(some))
+    frame = fingerprints.fingerprint_edits(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    if not same_digest:
+        assert classes(frame) == plain_classes(texts)
+    else:  # equal canonical texts have one fingerprint, others differ, whatever the digest
+        rows = {r.doc_id: r for r in frame.collect()}
+        for a in texts:
+            for b in texts:
+                assert (rows[a].fingerprint == rows[b].fingerprint) == (plain_canonical(texts[a]) == plain_canonical(texts[b]))
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_successors_of_an_id_that_fills_several_ranges(spark, hot):
+    rows = [(hot, f"hot {i}") for i in range(300)] + [(i, f"text {i}") for i in range(100)] + [(i, f"late {i}") for i in range(1000, 1100)]
+    got = fingerprints.successors(spark.createDataFrame(rows, "doc_id bigint, text string"), 16)
+    after = {r.text: r.next_text for r in got.select("text", "next_text").collect()}
+    assert len(after) == len(rows) and sorted(after.values()) == sorted(after)  # one ring
+    at, seen = "late 1099", []
+    for _ in rows:
+        seen.append(at)
+        at = after[at]
+    ids = {}
+    for k, t in rows:
+        ids[t] = k
+    order = [ids[t] if ids[t] is not None else -1 for t in seen]
+    assert at == "late 1099" and len(set(seen)) == len(rows) and order == sorted(order, reverse=True)
+
+
 def test_fingerprints(docs, texts):
     frame = fingerprints.fingerprint_edits(docs)
     no_python(frame)
@@ -180,6 +256,22 @@ def test_language_id_edges(edge, empty):
     assert language_id.identified(edge).schema == edge.schema
 
 
+def test_a_language_of_long_texts_is_learned(spark):
+    r = random.Random(5)
+    german, english = "der und nicht Straße werden schön über zwischen Häuser gegangen".split(), "the and not street become lovely above between houses walked".split()
+    rows = [(i, " ".join(r.choices(german, k=5000)), "de") for i in range(40)] + [(i, " ".join(r.choices(english, k=30)), "en") for i in range(40, 80)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert all(x.lang_pred == ("de" if x.doc_id < 40 else "en") for x in got)
+
+
+def test_accepted_is_score_against_the_limit(docs):
+    model = language_id.train(docs)
+    rows = language_id.identify(docs, model).collect()
+    assert all(r.accepted == (r.lang_pred != "und" and r.score >= model.threshold) for r in rows)
+    assert language_id.identified(docs).count() == sum(r.accepted for r in rows)
+    assert np.mean([r.accepted for r in rows if r.lang_pred != "und"]) > 0.97
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, lang string")
     assert language_id.identify(docs).first().lang_pred == "und"

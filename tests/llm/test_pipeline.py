@@ -49,3 +49,25 @@ def test_narrow_ids(spark):
         assert run(docs).count() == 2, run
     pages = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id int, url string, html string")
     assert main_text.main_text(pages).count() == warc.round_trip(pages).count() == 1
+
+
+CLASHES = ["row_key", "node", "comp", "kept", "letters", "__letters", "__kept", "__mix_tokens", "__mix_topic", "n_tokens", "part", "key", "topic", "probability"]
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1])
+def test_clashing_columns_pass(spark, small, stage):
+    name, run = stage
+    plain = spark.read.parquet(f"{small}/documents.parquet")
+    docs = plain.selectExpr("*", *(f"doc_id * 2 AS `{c}`" for c in CLASHES))
+    out = run(spark, docs, small)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == 2 * r.doc_id for r in rows for c in CLASHES)
+    assert {r.doc_id for r in rows} == {r.doc_id for r in run(spark, plain, small).collect()}
+
+
+def test_operators_leave_the_session_as_it_was(spark, small):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    corpus_pipeline.STAGES[1][1](spark, spark.read.parquet(f"{small}/documents.parquet"), small).count()
+    assert spark.conf.get(key) == before
