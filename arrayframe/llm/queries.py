@@ -18,7 +18,7 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), columns=["doc_id", "source", "lang"])
     return mixed.select(
         "doc_id", "source", "lang",
         F.col("__mix_topic").alias("topic"), F.col("__mix_tokens").alias("n_tokens"),

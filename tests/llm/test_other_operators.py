@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 
+import brute
 import numpy as np
 import public_tokenizers
 import pytest
@@ -64,8 +65,9 @@ def test_mixing_meets_the_targets(docs):
     total = got.__mix_tokens.sum()
     drawn = got.__mix_tokens * got.__mix_probability
     assert drawn.sum() == pytest.approx(0.5 * total, rel=0.02) and got.__mix_probability.between(0, 1).all()
-    for name in ("source", "lang"):
-        share = (got.groupby(name).__mix_tokens.sum() / total) ** mixing.TEMPER[name]
+    for name, power in mixing.TEMPER.items():
+        name = "__mix_topic" if name == "topic" else name
+        share = (got.groupby(name).__mix_tokens.sum() / total) ** power
         share /= share.sum()
         have = drawn.groupby(got[name]).sum() / drawn.sum()
         assert np.allclose(share, have, atol=0.03)
@@ -81,9 +83,63 @@ def test_mixing_to_given_targets(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in mixing.sampled(docs, targets, budget=0.4).collect())
 
 
+def plain_raking(n, margins, targets, budget, rounds):
+    """Cells' totals ``n`` raked by plain loops; ``margins`` and ``targets`` for each marginal."""
+    w = dict(n)
+    for _ in range(rounds):
+        for at, target in zip(margins, targets, strict=True):
+            sums = {}
+            for k in w:
+                sums[k[at]] = sums.get(k[at], 0.0) + w[k]
+            w = {k: min(n[k], x * (budget * target[k[at]] / sums[k[at]] if sums[k[at]] else 0.0)) for k, x in w.items()}
+    return w
+
+
+def test_raking_equals_plain_raking(spark):
+    r = random.Random(2)
+    n = {(f"s{i}", f"l{j}", f"t{k}"): r.randint(50, 5000) for i in range(4) for j in range(3) for k in range(3)}
+    cells = spark.createDataFrame([(*k, x) for k, x in n.items()], "source string, lang string, topic string, n bigint")
+    targets = [{v: x / 10 for v, x in zip(sorted({k[at] for k in n}), shares, strict=True)} for at, shares in enumerate(([1, 2, 3, 4], [2, 3, 5], [5, 3, 2]))]
+    frames = {c: spark.createDataFrame(list(t.items()), f"{c} string, share double") for c, t in zip(("source", "lang", "topic"), targets, strict=True)}
+    budget = 0.3 * sum(n.values())
+    got = {(x.source, x.lang, x.topic): x.w for x in mixing.rake(cells, frames, F.lit(budget)).collect()}
+    want = plain_raking(n, range(3), targets, budget, 200)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=0.03) for k in want)
+    assert all(x <= n[k] + 1e-6 for k, x in got.items())
+
+
+def test_raking_that_never_rests_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    cells = spark.createDataFrame([("a", "x", "t", 100), ("a", "y", "t", 900), ("b", "x", "t", 700), ("b", "y", "t", 50)], "source string, lang string, topic string, n bigint")
+    targets = {"source": spark.createDataFrame([("a", 0.2), ("b", 0.8)], "source string, share double"), "lang": spark.createDataFrame([("x", 0.3), ("y", 0.7)], "lang string, share double")}
+    with pytest.raises(mixing.RakingError, match="off by"):
+        mixing.rake(cells, targets, F.lit(400.0))
+
+
+def test_topics_follow_words_not_length(spark):
+    r = random.Random(6)
+    themes = [[f"{stem}{i}" for i in range(40)] for stem in ("ship", "grain", "stone", "law", "song", "star")]
+    rows = [(i, " ".join(r.choices(themes[i % 6], k=(20, 400)[i % 2 if i % 12 < 6 else 1 - i % 2])), "s", "en") for i in range(240)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")).collect()
+    of = {}
+    for x in got:
+        of.setdefault(x.doc_id % 6, []).append(x["__mix_topic"])
+    most = {k: max(set(v), key=v.count) for k, v in of.items()}
+    assert len(set(most.values())) == 6 and all(v.count(most[k]) >= 38 for k, v in of.items())
+
+
 def test_mixing_edges(edge, empty):
-    assert mixing.mix(edge).count() == edge.count() and mixing.sampled(edge).columns == edge.columns
-    assert mixing.mix(empty).count() == 0
+    got = mixing.mix(edge)
+    assert got.count() == edge.count() and mixing.sampled(edge).columns == edge.columns
+    assert mixing.mix(empty).count() == 0 and mixing.sampled(empty).columns == empty.columns
+    for x in got.collect():
+        words = brute.WORD.findall(x.text or "")
+        assert x["__mix_tokens"] == len(words) and (x["__mix_topic"] == "empty") == (not words)
+        assert not (x["__mix_drawn"] and x["__mix_probability"] == 0)
+    twice = {}
+    for x in got.collect():
+        twice.setdefault((x.doc_id, x.text, x.source, x.lang), set()).add(x["__mix_drawn"])
+    assert all(len(v) == 1 for v in twice.values())
 
 
 # 4
