@@ -1,13 +1,21 @@
 """Operator 1, licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are lines. A sparse multinomial logistic regression over runs
-of one to three words that hold a cue word (licence, copyright, names of
-licences) gives each line's family; it is trained here, in numpy on the driver,
-from the template texts below with random cuts and surroundings, and from
-sentences that use the cue words otherwise. A temperature and two limits are
-fitted on a second such set: below the first a line is no licence; between
-them, and where no template of the family resembles the line, it is a licence
-of an unknown kind.
+A paragraph is a run of adjacent lines that each hold a cue word; it is
+classified as a whole, and where it has several lines each of them too, so that
+wrapped notices are met entire and a line that names another licence is not
+lost. A sparse multinomial logistic regression over runs of one to three words
+that hold a cue word gives the family; it is trained here, in numpy on the driver, from
+public wordings (whole, joined, and cut into lines) with random cuts and
+surroundings, and from sentences that use their words otherwise. Cue words are
+learned from them too: few words, rare outside licences, of which every licence
+paragraph holds two and each line's worth of it one. After a first fit only the n-grams with the largest
+weights stay. A temperature and two limits are fitted on a second such set:
+below the first a paragraph is no licence; between them, and where no template
+of the family resembles it, it is a licence of an unknown kind.
+
+A template resembles a paragraph if the paragraph holds enough of the template's
+ordered word pairs; a paragraph that is taken alone may also be a part of the
+template. A paragraph reports every family that it, or a line of it, confirms.
 
 The scan itself is SQL expressions alone, on whole texts and without a shuffle.
 A line without a cue word has no feature, so skipping it is exact.
@@ -21,6 +29,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
@@ -28,39 +37,59 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Common wordings of licence notices, by family.
-TEMPLATES = {
-    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3."],
-    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD License.", "Use of this source code is governed by a BSD-style license."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, all copyright has been waived under CC0 1.0 Universal."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1."],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "proprietary": ["All rights reserved.", "Copyright 2020 Example Inc. All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
-}
-#: Licence notices of no family, and sentences that are none.
-OTHERS = ["Released under the Zed Free License.", "Licensed under the Open Widget License, version 1.", "Distributed under the terms of the Example Public License.", "This work is licensed under its own license."]
-NEGATIVES = ["The driver lost the licence after the accident.", "She has a fishing license for the lake.", "Copyright law was debated in parliament.", "An apache helicopter landed near the river.", "Students at mit built a robot.", "The gnu grazed on the plain.", "Creative people met in the commons.", "The public domain of the park was closed.", "He rights the boat and reserved a table.", "The mozilla mascot is a dinosaur.", "Permission to land was granted.", "The version was released in may.", "Modification of the plan and redistribution of land were proposed.", "Rights reserved for members were few.", "The licensed plumber came at noon.", "Mit.", "Er kam mit der Bahn und ging mit dem Hund.", "Das Haus mit dem Garten.", "Mit und ohne."]
-CUES = "license licence licensed licensing copyright copyrighted apache mit gnu gpl lgpl agpl affero bsd cc cc0 creative commons mozilla mpl reserved proprietary permission redistribution redistribute unauthorized".split()
+from .licence_texts import NEGATIVES, OTHERS, PLAIN, SPDX, TEMPLATES
+
 OTHER, NONE = "other", "none"
-SEED, VARIANTS, STEPS, RATE, DECAY, SIMILAR = 5, 40, 250, 2.0, 2e-4, 0.6
+SEED, VARIANTS, STEPS, RATE, DECAY = 5, 30, 200, 2.0, 2e-4
+#: Share of a template's word pairs that a paragraph must hold; of a paragraph's own pairs, at least so many, that one template must hold.
+SIMILAR, PART, PART_PAIRS = 0.6, 0.75, 4
+#: Words of a wrapped line.
+LINE = 10
+#: N-grams that stay after the first fit.
+VOCABULARY = 400
 #: Share of the second set's negatives, and of its known notices, that calibration lets pass for a licence and for unknown.
 FALSE, UNSURE = 0.002, 0.01
-_CUE = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(CUES)})(?![a-z0-9])")
 
 
 def words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text))
 
 
+def paragraphs() -> dict[str, list[str]]:
+    """The templates of each family, with its SPDX lines."""
+    return {f: [*ts, *(f"SPDX-License-Identifier: {x}" for x in SPDX.get(f, ()))] for f, ts in TEMPLATES.items()}
+
+
+@cache
+def cues() -> tuple[str, ...]:
+    """Words of which each licence paragraph holds two (or all it has), and each ``LINE`` words of it one.
+
+    Picked greedily by how many still need them, and by how few sentences outside have them.
+    """
+    need: list[tuple[set[str], int]] = []
+    for t in [*OTHERS, *(t for ts in paragraphs().values() for t in ts)]:
+        w = [x if x not in PLAIN and not x.isdigit() else "" for x in words(t)]
+        need.append((set(w) - {""}, 2))
+        need += [(set(w[i : i + LINE]) - {""}, 1) for i in range(0, len(w) - LINE + 1, LINE // 2) if len(w) > LINE]
+    outside = Counter(w for t in NEGATIVES for w in set(words(t)))
+    picked: list[str] = []
+    while True:
+        score: Counter[str] = Counter()
+        for held, n in need:
+            if len(held.intersection(picked)) < n:
+                score.update(held.difference(picked))
+        if not score:
+            return tuple(sorted(picked))
+        picked.append(min(score, key=lambda w: (-score[w] / (1 + outside[w]), w)))
+
+
+def cue_pattern() -> str:
+    return rf"(?<![a-z0-9])(?:{'|'.join(cues())})(?![a-z0-9])"
+
+
 def ngrams(line: list[str]) -> list[str]:
     """Runs of one to three words that hold a cue."""
-    cue = set(CUES)
+    cue = set(cues())
     return [" ".join(line[i : i + n]) for n in (1, 2, 3) for i in range(len(line) - n + 1) if not cue.isdisjoint(line[i : i + n])]
 
 
@@ -96,35 +125,52 @@ def _varied(r: random.Random) -> list[tuple[str, str]]:
             w.pop(r.randrange(len(w)))
         return f"{some(4)} {' '.join(w)} {some(4)}"
 
-    out = [(around(t), f) for f, ts in TEMPLATES.items() for t in ts for _ in range(VARIANTS)]
+    known = paragraphs()
+    out = [(around(t), f) for f, ts in known.items() for t in ts for _ in range(VARIANTS)]
+    for f, ts in known.items():  # whole notices, and their lines
+        for _ in range(VARIANTS):
+            out.append((" ".join([*r.sample(ts, min(len(ts), r.randint(1, 4))), *r.sample(OTHERS, r.randint(0, 1))]), f))
+        for t in ts:
+            w = t.split()
+            for _ in range(VARIANTS // 3 if len(w) > 14 else 0):
+                at = r.randrange(len(w) - 8)
+                out.append((" ".join(w[at : at + r.randint(8, 14)]), f))
     out += [(around(t), OTHER) for t in OTHERS for _ in range(VARIANTS)]
     out += [(around(t), NONE) for t in NEGATIVES for _ in range(VARIANTS)]
-    out += [(" ".join(r.choices([*filler, *CUES], weights=[1] * 300 + [2] * len(CUES), k=r.randint(1, 25))), NONE) for _ in range(25 * VARIANTS)]
+    common = [*cues(), *PLAIN]
+    out += [(" ".join(r.choices([*filler, *common], weights=[1] * len(filler) + [2] * len(common), k=r.randint(1, 25))), NONE) for _ in range(25 * VARIANTS)]
     return out
 
 
+def _fitted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    weights, bias = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
+    speed = np.zeros_like(weights)
+    for _ in range(STEPS):
+        off = (_softmax(x @ weights + bias) - y) / len(x)
+        speed = 0.9 * speed - RATE * (x.T @ off + DECAY * weights)
+        weights += speed
+        bias -= RATE * off.sum(axis=0)
+    return weights, bias
+
+
 @cache
 def trained() -> Classifier:
     learn, check = (_varied(random.Random(SEED + k)) for k in (0, 1))
     families = sorted({f for _, f in learn})
     bags = [ngrams(words(x)) for x, _ in learn]
-    vocabulary = sorted({g for t in [*OTHERS, *NEGATIVES, *(t for ts in TEMPLATES.values() for t in ts)] for g in ngrams(words(t))})
+    vocabulary = sorted({g for t in [*OTHERS, *NEGATIVES, *(t for ts in paragraphs().values() for t in ts)] for g in ngrams(words(t))})
     place = {g: i for i, g in enumerate(vocabulary)}
-    x = np.zeros((len(learn), len(vocabulary)))
+    x = np.zeros((len(learn), len(vocabulary)), dtype=np.float32)
     for i, bag in enumerate(bags):
         for g in bag:
             if g in place:
                 x[i, place[g]] += 1
-    y = np.zeros((len(learn), len(families)))
+    y = np.zeros((len(learn), len(families)), dtype=np.float32)
     y[np.arange(len(learn)), [families.index(f) for _, f in learn]] = 1
-    weights, bias = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
-    speed = np.zeros_like(weights)
-    for _ in range(STEPS):
-        off = (_softmax(x @ weights + bias) - y) / len(x)
-        speed = 0.9 * speed - RATE * (x.T @ off + DECAY * weights)
-        weights += speed
-        bias -= RATE * off.sum(axis=0)
-    model = Classifier(families, vocabulary, np.round(weights, 4), np.round(bias, 4), 1.0, 0.5, 0.5)
+    weights, _ = _fitted(x, y)
+    stay = np.sort(np.argsort(-np.abs(weights).max(axis=1), kind="stable")[:VOCABULARY])
+    weights, bias = _fitted(x[:, stay], y)
+    model = Classifier(families, [vocabulary[i] for i in stay], np.round(weights, 4), np.round(bias, 4), 1.0, 0.5, 0.5)
     lines, want = [a for a, _ in check], np.array([families.index(b) for _, b in check])
     loss = lambda t: -np.log(np.maximum(_softmax(np.log(np.maximum(raw, 1e-300)) * t)[np.arange(len(want)), want], 1e-12)).mean()
     raw = model.probabilities(lines)
@@ -139,53 +185,89 @@ def trained() -> Classifier:
     return model
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, licence (null: none; 'unknown'), confidence, confirmed, licences (all families, in order) and n_paragraphs of each row."""
-    m = trained()
-    none, other = m.families.index(NONE), m.families.index(OTHER)
-    folded = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    cue = _CUE.pattern
-    lines = F.when(folded.rlike(cue), F.filter(F.split(folded, "\n"), lambda x: x.rlike(cue))).otherwise(F.array().cast("array<string>"))
+def _tokens(line: Column) -> Column:
+    return F.filter(F.split(line, "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _runs(w: Column, n: int) -> Column:
+    """Runs of ``n`` words."""
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(w, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _units(text: Column) -> Column:
+    """(block, alone, w): the paragraphs' words, and those of their lines where there are several."""
+    folded = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cue = cue_pattern()
+    marked = F.array_join(F.transform(F.split(folded, "\n"), lambda x: F.when(x.rlike(cue), x).otherwise("")), "\n")
+    blocks = F.split(F.btrim(marked, F.lit("\n")), "\n\n+")
+    unit = lambda x, i, alone: F.struct(i.alias("block"), alone.alias("alone"), _tokens(x).alias("w"))
+
+    def of(block: Column, i: Column) -> Column:
+        lines = F.when(F.contains(block, F.lit("\n")), F.transform(F.split(block, "\n"), lambda x: unit(x, i, F.lit(False))))
+        return F.concat(F.array(unit(block, i, F.lit(True))), F.coalesce(lines, F.array().cast("array<struct<block:int,alone:boolean,w:array<string>>>")))
+
+    none = F.array().cast("array<struct<block:int,alone:boolean,w:array<string>>>")
+    return F.when(folded.rlike(cue), F.flatten(F.transform(blocks, of))).otherwise(none)
+
+
+def _scores(m: Classifier, w: Column, pairs: Column) -> Column:
+    """The raw score of each family."""
     vocabulary = F.split(F.lit("\n".join(m.vocabulary)), "\n")
-    tables = [F.split(F.lit(",".join(map(str, col))), ",").cast("array<double>") for col in m.weights.T]
+    found = F.filter(F.transform(F.concat(w, pairs, _runs(w, 3)), lambda g: F.array_position(vocabulary, g).cast("int")), lambda i: i > 0)
+    rows = F.array(*(F.split(F.lit(",".join(map(str, row))), ",").cast("array<double>") for row in m.weights))
+    start = F.array(*(F.lit(float(b)) for b in m.bias))
+    return F.transform(F.aggregate(found, start, lambda acc, i: F.zip_with(acc, F.get(rows, i - 1), lambda a, b: a + b)), lambda z: z * m.temperature)
 
-    def tokens(line: Column) -> Column:
-        return F.filter(F.split(line, "[^a-z0-9]+"), lambda w: w != "")
 
-    def ids(w: Column) -> Column:
-        runs = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(w, i, n)))).otherwise(F.array().cast("array<string>"))
-        return F.filter(F.transform(F.concat(w, runs(2), runs(3)), lambda g: F.array_position(vocabulary, g).cast("int")), lambda i: i > 0)
+def _likeness(best: Column, pairs: Column, alone: Column, templates: dict[int, list[list[str]]]) -> Column:
+    """How much a template of the family and the unit have of each other's ordered word pairs."""
+    own = F.size(F.array_distinct(pairs))
 
-    def score(family: int, found: Column) -> Column:
-        return F.aggregate(found, F.lit(float(m.bias[family])), lambda acc, i: acc + F.get(tables[family], i - 1)) * m.temperature
+    def of(template: list[str]) -> Column:
+        both = F.size(F.array_intersect(pairs, F.array(*map(F.lit, template))))
+        part = F.when(alone & (own >= PART_PAIRS) & (both >= PART * own), SIMILAR).otherwise(0.0)
+        return F.greatest(both / len(template), part)
 
+    out = F.lit(0.0)
+    for i, held in templates.items():
+        alike = [of(t) for t in held]
+        out = F.when(best == i, F.greatest(*alike) if len(alike) > 1 else alike[0]).otherwise(out)
+    return out
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, licence (null: none; 'unknown'), confidence, confirmed, licences (all families, in order) and n_paragraphs of each row."""
+    m = trained()
+    none, other = m.families.index(NONE), m.families.index(OTHER)
     known = [i for i in range(len(m.families)) if i not in (none, other)]
-    templates = {i: [sorted(set(words(t))) for t in TEMPLATES[m.families[i]]] for i in known}
-
-    def likeness(best: Column, w: Column) -> Column:
-        """The largest share of a template's words that the line holds, over the family's templates."""
-        of = lambda t: F.size(F.array_intersect(w, F.array(*map(F.lit, t)))) / len(t)
-        out = F.lit(0.0)
-        for i in known:
-            alike = [of(t) for t in templates[i]]
-            out = F.when(best == i, F.greatest(*alike) if len(alike) > 1 else alike[0]).otherwise(out)
-        return out
-
-    step = docs.select("doc_id", lines.alias("lines"))
-    step = step.select("doc_id", F.transform("lines", lambda x: F.struct(tokens(x).alias("w"))).alias("p"))
-    step = step.select("doc_id", F.transform("p", lambda x: F.struct(x["w"].alias("w"), ids(x["w"]).alias("ids"))).alias("p"))
-    step = step.select("doc_id", F.transform("p", lambda x: F.struct(x["w"].alias("w"), F.array(*(score(i, x["ids"]) for i in range(len(m.families)))).alias("z"))).alias("p"))
-    step = step.select("doc_id", F.transform("p", lambda x: F.struct(x["w"].alias("w"), F.transform(x["z"], lambda v: F.exp(v - F.array_max(x["z"]))).alias("e"))).alias("p"))
-    step = step.select("doc_id", F.transform("p", lambda x: F.struct(x["w"].alias("w"), F.transform(x["e"], lambda v: v / F.aggregate(x["e"], F.lit(0.0), lambda a, b: a + b)).alias("q"))).alias("p"))
-    best = lambda q: F.array_max(F.array(*(F.struct(F.get(q, i).alias("p"), F.lit(-i).alias("i")) for i in known)))
-    step = step.select("doc_id", F.transform("p", lambda x: F.struct(x["w"].alias("w"), (1 - F.get(x["q"], none)).alias("licence"), best(x["q"]).alias("best"))).alias("p"))
-    step = step.select("doc_id", F.transform(F.filter("p", lambda x: x["licence"] >= m.licence_limit), lambda x: F.struct(x["licence"].alias("licence"), x["best"]["p"].alias("p"), (-x["best"]["i"]).alias("i"), likeness(-x["best"]["i"], x["w"]).alias("like"))).alias("p"))
+    templates = {i: [sorted({" ".join(p) for p in zip(w, w[1:], strict=False)}) for w in map(words, paragraphs()[m.families[i]])] for i in known}
     names = F.array(*map(F.lit, m.families))
+    best = lambda q: F.array_max(F.array(*(F.struct(F.get(q, i).alias("p"), F.lit(-i).alias("i")) for i in known)))
 
-    def named(x: Column) -> Column:
-        sure = (x["p"] >= m.family_limit) & (x["like"] >= SIMILAR)
-        return F.struct(sure.alias("confirmed"), F.when(sure, x["p"]).otherwise(x["licence"]).alias("confidence"), F.when(sure, F.get(names, x["i"])).otherwise("unknown").alias("family"))
-
-    step = step.select("doc_id", F.transform("p", named).alias("p"))
+    def then(step: DataFrame, run) -> DataFrame:
+        """The units with the fields that ``run`` gives of each; a step a projection, so that nothing is computed twice."""
+        return step.select("doc_id", F.transform("p", lambda x: F.struct(*run(x))).alias("p"))
+
+    keep = lambda x, *fields: [x[f].alias(f) for f in fields]
+    step = docs.select("doc_id", _units(F.col("text")).alias("p"))
+    step = then(step, lambda x: [*keep(x, "block", "alone", "w"), _runs(x["w"], 2).alias("pairs")])
+    step = then(step, lambda x: [*keep(x, "block", "alone", "pairs"), _scores(m, x["w"], x["pairs"]).alias("z")])
+    step = then(step, lambda x: [*keep(x, "block", "alone", "pairs"), F.transform(x["z"], lambda v: F.exp(v - F.array_max(x["z"]))).alias("e")])
+    step = then(step, lambda x: [*keep(x, "block", "alone", "pairs"), F.transform(x["e"], lambda v: v / F.aggregate(x["e"], F.lit(0.0), lambda a, b: a + b)).alias("q")])
+    step = then(step, lambda x: [*keep(x, "block", "alone", "pairs"), (1 - F.get(x["q"], none)).alias("licence"), best(x["q"]).alias("best")])
+    step = step.select("doc_id", F.filter("p", lambda x: x["licence"] >= m.licence_limit).alias("p"))
+    step = then(step, lambda x: [*keep(x, "block", "licence", "best"), _likeness(-x["best"]["i"], x["pairs"], x["alone"], templates).alias("like")])
+
+    def named(x: Column) -> list[Column]:
+        sure = (x["best"]["p"] >= m.family_limit) & (x["like"] >= SIMILAR)
+        return [sure.alias("confirmed"), F.when(sure, x["best"]["p"]).otherwise(x["licence"]).alias("confidence"), F.when(sure, F.get(names, -x["best"]["i"])).otherwise("unknown").alias("family"), x["block"].alias("block")]
+
+    step = then(step, named)
+    # a paragraph is of unknown kind only where neither it nor a line of it is confirmed
+    sure = F.transform(F.filter("p", lambda x: x["confirmed"]), lambda x: x["block"])
+    step = step.select("doc_id", "p", sure.alias("sure"))
+    step = step.select("doc_id", F.filter("p", lambda x: x["confirmed"] | ~F.array_contains(F.col("sure"), x["block"])).alias("p"))
     top = F.array_max("p")  # confirmed ones first, then the more certain
-    return step.select("doc_id", top["family"].alias("licence"), top["confidence"].alias("confidence"), F.coalesce(top["confirmed"], F.lit(False)).alias("confirmed"), F.array_sort(F.array_distinct(F.transform("p", lambda x: x["family"]))).alias("licences"), F.size("p").alias("n_paragraphs"))
+    licences = F.array_sort(F.array_distinct(F.transform("p", lambda x: x["family"])))
+    n = F.size(F.array_distinct(F.transform("p", lambda x: x["block"])))
+    return step.select("doc_id", top["family"].alias("licence"), top["confidence"].alias("confidence"), F.coalesce(top["confirmed"], F.lit(False)).alias("confirmed"), licences.alias("licences"), n.alias("n_paragraphs"))

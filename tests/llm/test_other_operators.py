@@ -52,8 +52,37 @@ def test_licence_sql_equals_the_model(spark):
         assert got[i].licence == model.families[best] and got[i].confidence == pytest.approx(row[best], abs=1e-6)
 
 
+@pytest.mark.parametrize(("text", "family"), [
+    ("SPDX-License-Identifier: Apache-2.0", "apache"), ("// SPDX-License-Identifier: GPL-2.0-only", "gpl"), ("Published under the WTFPL.", "wtfpl"), ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"), ("Boost Software License - Version 1.0 - August 17th, 2003", "boost"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "isc"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files (the \"Software\"),\nto deal in the Software without restriction, including without limitation\nthe rights to use, copy, modify, merge, publish, distribute, sublicense,\nand/or sell copies of the Software", "mit"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet.", "bsd"),
+    ("under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License", "agpl"),
+])
+def test_real_wordings(spark, text, family):
+    around = f"The harbour was calm.\n{text}\nThe boats came back at noon."
+    got = licences.scan(spark.createDataFrame([(1, text), (2, around)], "doc_id bigint, text string")).collect()
+    assert all(r.licences == [family] and r.confirmed and r.n_paragraphs == 1 for r in got), got
+
+
+def test_a_paragraph_reports_all_its_families(spark):
+    text = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\n\nThe software is provided \"as is\", without warranty of any kind, express or implied."
+    got = licences.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert got.licences == ["apache", "mit", "unknown"] and got.n_paragraphs == 2 and got.confirmed
+
+
+def test_every_licence_paragraph_holds_a_cue():
+    for t in [*licences.OTHERS, *(t for ts in licences.paragraphs().values() for t in ts)]:
+        assert set(licences.words(t)) & set(licences.cues())
+
+
 def test_licence_edges(edge, empty):
-    assert licences.scan(edge).count() == edge.count() and licences.scan(empty).count() == 0
+    got = licences.scan(edge).collect()
+    assert len(got) == edge.count() and licences.scan(empty).count() == 0
+    for r in got:
+        assert (r.licence is None) == (r.licences == []) == (r.n_paragraphs == 0)
+        assert r.licences == (["mit"] if r.doc_id == 12 else [])
 
 
 # 2
