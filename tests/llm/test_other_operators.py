@@ -113,15 +113,18 @@ def test_mixing_to_given_targets(spark):
 
 
 def plain_raking(n, margins, targets, budget, rounds):
-    """Cells' totals ``n`` raked by plain loops; ``margins`` and ``targets`` for each marginal."""
-    w = dict(n)
+    """Cells' totals ``n`` times a factor for each marginal, at most n, by plain loops."""
+    u = {k: float(x) for k, x in n.items()}
     for _ in range(rounds):
         for at, target in zip(margins, targets, strict=True):
-            sums = {}
-            for k in w:
-                sums[k[at]] = sums.get(k[at], 0.0) + w[k]
-            w = {k: min(n[k], x * (budget * target[k[at]] / sums[k[at]] if sums[k[at]] else 0.0)) for k, x in w.items()}
-    return w
+            sums, whole = {}, {}
+            for k in u:
+                sums[k[at]] = sums.get(k[at], 0.0) + min(n[k], u[k])
+                whole[k[at]] = whole.get(k[at], 0.0) + n[k]
+            for k in u:
+                s, aim = sums[k[at]], budget * target[k[at]]
+                u[k] *= 1.0 if 0.999 * whole[k[at]] <= s <= aim else aim / s
+    return {k: min(n[k], x) for k, x in u.items()}
 
 
 def test_raking_equals_plain_raking(spark):
