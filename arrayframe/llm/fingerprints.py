@@ -84,13 +84,27 @@ def successors(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(high, low, check) of each different canonical text with ``place`` in its bucket, ``group_id`` (the least doc_id) and ``group_size``."""
+    """(high, low, check) of each different canonical text with ``group_id`` (the least doc_id) and ``group_size``.
+
+    Written once: the texts move once, whatever is asked of the groups then.
+    """
     canon = canonical(F.coalesce("text", F.lit("")))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canon.alias("canon"))
     keyed = keyed.select("doc_id", "canon", *(c.alias(n) for c, n in zip(digest(F.col("canon")), ("high", "low"), strict=True)))
     same = keyed.groupBy("high", "low", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
-    found = same.select("high", "low", F.sha2("canon", 256).alias("check"), "group_id", "group_size")
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("high", "low").orderBy("check")) - 1)
+    return stored(same.select("high", "low", _check("canon"), "group_id", "group_size"), "fingerprint-groups")
+
+
+def _check(canon: str, name: str = "check") -> Column:
+    return F.unhex(F.sha2(canon, 256)).alias(name)
+
+
+def seconds(found: DataFrame) -> DataFrame:
+    """(high, low, check, place) of the texts beyond the first of their bucket: none is expected."""
+    several = stored(found.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low"), "fingerprint-buckets")
+    place = F.row_number().over(Window.partitionBy("high", "low").orderBy("check")) - 1
+    held = found.join(several, ["high", "low"], "left_semi").select("high", "low", "check", place.alias("place"))
+    return stored(held.where("place > 0"), "fingerprint-seconds")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -103,15 +117,19 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     high, low = digest(F.col("edited_canon"))
     near_next = F.when((F.col("high") == F.col("next_high")) & (F.col("low") == F.col("next_low")), F.col("canon") == canonical(F.col("next_text"))).otherwise(F.lit(False))
     flat = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "high", "low", F.sha2("canon", 256).alias("check"),
-        high.alias("edited_high"), low.alias("edited_low"), F.sha2("edited_canon", 256).alias("edited_check"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "high", "low", _check("canon"),
+        high.alias("edited_high"), low.alias("edited_low"), _check("edited_canon", "edited_check"),
         (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"),
         near_next.cast("double").alias("near_next"),
     )
     found = groups(docs)
-    # texts beyond the first of their bucket: none is expected, so it is a tiny table
-    second = found.where("place > 0").select(F.col("high").alias("edited_high"), F.col("low").alias("edited_low"), F.col("check").alias("edited_check"), F.col("place").alias("edited_place"))
-    flat = flat.join(found, ["high", "low", "check"], "left").join(second, ["edited_high", "edited_low", "edited_check"], "left")
+    # a text that occurs once is a group by itself; both tables are written, so joins choose their way by measured size
+    shared = stored(found.where("group_size > 1"), "fingerprint-copies")
+    second = seconds(found)
+    edited_second = second.select(*(F.col(c).alias(f"edited_{c}") for c in second.columns))
+    key = ["high", "low", "check"]
+    flat = flat.join(shared, key, "left").join(second, key, "left").join(edited_second, [f"edited_{c}" for c in key], "left")
+    flat = flat.withColumn("group_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("group_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     own = _named(F.col("high"), F.col("low"), F.col("place"))
     edited = _named(F.col("edited_high"), F.col("edited_low"), F.col("edited_place"))
     return flat.select("doc_id", "n_chars", "edited_sha256", own.alias("fingerprint"), edited.alias("edited_fingerprint"), "near_edited", "near_next", "group_id", "group_size")
