@@ -140,6 +140,18 @@ def test_raking_equals_plain_raking(spark):
     assert all(x <= n[k] + 1e-6 for k, x in got.items())
 
 
+def test_raking_of_one_partition_equals_that_of_many(spark, monkeypatch):
+    r = random.Random(4)
+    keys = [(s, lang, t) for s in ("a", "b", None, "c") for lang in ("x", None, "y") for t in ("0", "1")]
+    cells = spark.createDataFrame([(*k, r.randint(10, 900)) for k in keys], "source string, lang string, topic string, n bigint")
+    targets = {c: mixing.tempered(cells, c, p) for c, p in mixing.TEMPER.items()}
+    of = lambda: {(x.source, x.lang, x.topic): x.w for x in mixing.rake(cells, targets, F.lit(4000.0)).collect()}
+    one = of()
+    monkeypatch.setattr(mixing, "CELLS", 7)
+    many = of()
+    assert one.keys() == many.keys() == set(keys) and all(one[k] == pytest.approx(many[k], rel=1e-9) for k in keys)
+
+
 def test_raking_that_never_rests_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ROUNDS", 1)
     cells = spark.createDataFrame([("a", "x", "t", 100), ("a", "y", "t", 900), ("b", "x", "t", 700), ("b", "y", "t", 50)], "source string, lang string, topic string, n bigint")
