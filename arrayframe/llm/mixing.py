@@ -9,20 +9,24 @@ comes: it ends when a round changes nothing any more. If neither happens in
 ``ROUNDS`` rounds it is an error that names the residual. Documents are then
 drawn by a hash of their id and text, so that a rerun draws the same ones.
 
-A document's topic comes from its words. Words are hashed to ``BUCKETS`` terms;
-spherical k-means over a bounded sample (about ``SAMPLE`` documents, picked by
-their hash) gives each language ``TOPICS`` centroids, and each term the topic
-whose centroid weighs it most above the others, if any does clearly. Each whole
-text then counts its words' topics, and has the most frequent one. Topics are
-learned within each language of the sample (up to ``LANGUAGES``; other documents
-take centroids learned from all), so that they divide what language does not.
-
-DataFrame operations alone; of the sample the driver gets term counts, and the
-centroids come back as literals. Everything that is raked is the aggregated cell
+A document's topic comes from its words. Words are hashed to ``BUCKETS`` terms.
+In each language the correlation of any two terms' shares of a text is computed
+over all texts that have words; its main components place the terms, and
+spherical k-means of the places gives ``TOPICS`` groups of terms that rise and
+fall together. A term that the components hardly explain has no topic. Each whole
+text then counts its words' topics, and has the one that it has most above that
+topic's mean share of the language's texts. The largest
+``LANGUAGES`` languages have topics of their own, so that topics divide what
+language does not; all other documents, also those without a language, share one
+set of topics, learned from all of them.
+
+DataFrame operations alone, of which the correlations are MLlib's, in the JVM: the
+driver gets a matrix of ``BUCKETS`` x ``BUCKETS`` a language, and a topic a term goes
+back as literals. Everything that is raked is the aggregated cell
 table: up to ``CELLS`` cells are one partition, whose sums are windows without a
 shuffle; of more, a marginal's sums are aggregated before they move, and joins
-with them choose their way by measured size. The measured rows are written once, so that
-texts are split and hashed once.
+with them choose their way by measured size. The rows are written once with their
+terms, so that texts are split and hashed once.
 
 Null source, language or text are values like others (null text: no tokens,
 topic 'empty'; a text without a word of any topic: 'none'). Rows that repeat are
@@ -36,6 +40,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +58,10 @@ OVER = 1.6
 AT_ONCE = 4
 #: Cells that a partition of the cell table holds: one partition needs no shuffle.
 CELLS = 100_000
-#: Of topics: how many for a language, terms, documents to learn from (about), languages with centroids of their own, rounds of k-means.
-TOPICS, BUCKETS, SAMPLE, LANGUAGES, MEANS = 6, 256, 500, 16, 12
-#: A term has a topic if its centroid's weight is so much above the mean of the others.
-CLEAR = 1.25
+#: Of topics: how many for a language, terms, languages with topics of their own, rounds of k-means.
+TOPICS, BUCKETS, LANGUAGES, MEANS = 6, 256, 16, 12
+#: A term has a topic if its place is so far along that topic's direction, as a part of the mean over terms.
+CLEAR = 0.5
 
 
 class RakingError(RuntimeError):
@@ -71,77 +77,97 @@ def _term(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def centroids(counts: np.ndarray) -> np.ndarray:
-    """Spherical k-means of the rows: ``TOPICS`` unit vectors, the same for the same rows, the largest topic first.
+def centroids(x: np.ndarray) -> np.ndarray:
+    """Spherical k-means of the rows, weighed by their length: ``TOPICS`` unit vectors, the same for the same rows."""
+    size = np.linalg.norm(x, axis=1)
+    unit = x / np.maximum(size, 1e-12)[:, None]
+    picked = [int(np.argmax(size))]
+    while len(picked) < TOPICS:  # each next one is the farthest from those before
+        picked.append(int(np.argmax(size * (1 - (unit @ unit[picked].T).max(axis=1)))))
+    now = unit[picked]
+    for _ in range(MEANS):
+        nearest = np.argmax(unit @ now.T, axis=1)
+        sums = np.stack([x[nearest == k].sum(axis=0) for k in range(TOPICS)])
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        now = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), now)
+    return now
+
 
-    So numbered, topics of different languages have like shares, and the
-    marginals of language and topic can be met together.
+def term_topics(correlation: np.ndarray, share: np.ndarray) -> tuple[list[int], list[float]]:
+    """Of each term the topic, -1 for none, and each topic's mean share; ``share``: each term's mean share of a text.
+
+    The topic with the largest share is the first. So numbered, topics of
+    different languages have like shares, and the marginals of language and
+    topic can be met together.
     """
-    x = np.sqrt(counts)
-    x = x * np.log1p(len(x) / np.maximum(1, (counts > 0).sum(axis=0)))
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    middle = x.mean(axis=0)
-    picked = [int(np.argmin(x @ middle))]
-    while len(picked) < min(TOPICS, len(x)):  # each next one is the farthest from those before
-        picked.append(int(np.argmin((x @ x[picked].T).max(axis=1))))
-    now = x[picked]
-    for _ in range(MEANS):
-        nearest = np.argmax(x @ now.T, axis=1)
-        sums = np.stack([x[nearest == k].sum(axis=0) for k in range(len(now))])
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        now = np.where(size > 0, sums / np.maximum(size, 1e-12), now)
-    return now[np.argsort(-np.bincount(np.argmax(x @ now.T, axis=1), minlength=len(now)), kind="stable")]
-
-
-def term_topics(counts: np.ndarray) -> list[int]:
-    """Of each term the topic, -1 for none."""
-    if len(counts) < 2:
-        return [-1] * BUCKETS
-    weight = centroids(counts)
-    best = weight.argmax(axis=0)
-    rest = (weight.sum(axis=0) - weight.max(axis=0)) / max(1, len(weight) - 1)
-    return [int(k) if w > CLEAR * r else -1 for k, w, r in zip(best, weight.max(axis=0), rest, strict=True)]
-
-
-def learned(docs: DataFrame) -> dict[str | None, list[int]]:
-    """The topics of terms for each language of the sample; under None those learned from all."""
-    total = docs.count()
-    share = F.pmod(F.xxhash64(F.lit(2), "doc_id", "text"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 20))
-    sample = docs.where(share).select("lang", F.xxhash64("doc_id", "text").alias("row"), F.explode_outer(F.transform(_words("text"), _term)).alias("term"))
-    # outer: else the words of all rows would be split to see which have any
-    sample = sample.where("term is not null")
-    terms = sample.groupBy("lang", "row", "term").agg(F.count("*").alias("n"))
-    # a row a document with two short lists of numbers: the driver holds no object a term
-    rows = terms.groupBy("lang", "row").agg(F.collect_list(F.struct("term", "n")).alias("x")).select("lang", "row", "x.term", "x.n").limit(4 * SAMPLE).collect()
-    rows.sort(key=lambda r: (r.lang or "", r.row))
-    counts, langs = np.zeros((len(rows), BUCKETS)), np.array([r.lang or "" for r in rows], dtype=object)
-    for i, r in enumerate(rows):
-        counts[i, r.term] = r.n
-    sizes = sorted(((int((langs == k).sum()), k) for k in set(langs) if k), key=lambda x: (-x[0], x[1]))
-    own = {k: term_topics(counts[langs == k]) for n, k in sizes[:LANGUAGES] if n >= 2 * TOPICS}
-    return own | {None: term_topics(counts)}
+    value, vector = np.linalg.eigh(correlation)
+    place = vector[:, -TOPICS + 1 :] * np.sqrt(np.maximum(value[-TOPICS + 1 :], 0))
+    along = place @ centroids(place).T
+    best, far = along.argmax(axis=1), along.max(axis=1)
+    best[(share <= 0) | (far <= CLEAR * far[share > 0].mean())] = -1
+    shares = np.array([share[best == k].sum() for k in range(TOPICS)])
+    order = np.argsort(-shares, kind="stable").tolist()
+    return [order.index(k) if k >= 0 else -1 for k in best.tolist()], shares[order].tolist()
+
+
+def counted(terms: str) -> CountVectorizerModel:
+    """Counts of the terms in the column ``terms`` as vectors: a term's place is its number."""
+    return CountVectorizerModel.from_vocabulary([str(k) for k in range(BUCKETS)], inputCol=terms, outputCol="counts")
+
+
+Learned = dict[str | None, tuple[list[int], list[float]]]
+
+
+def learned(docs: DataFrame, lang: str, terms: str) -> Learned:
+    """The topics of terms and their shares for each language, learned from all rows of ``docs``; under None those of all rows of other languages."""
+    worded = docs.where(F.size(F.col(terms)) > 0).select(F.col(lang).alias("lang"), F.col(terms).cast("array<string>").alias("terms"))
+    shares = Normalizer(p=1.0, inputCol="counts", outputCol="shares").transform(counted("terms").transform(worded))
+    shares = stored(shares.select("lang", "shares"), "mix-shares")
+    sizes = shares.where("lang is not null").groupBy("lang").count().where(F.col("count") >= 2 * TOPICS)
+    own = [r.lang for r in sizes.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    parts = {k: shares.where(F.col("lang") == k) for k in own}
+    parts[None] = shares.where(~F.coalesce(F.col("lang").isin(own), F.lit(False))) if own else shares
+    found: Learned = {}
+    for k, rows in parts.items():
+        if len(rows.limit(2).collect()) < 2:  # one row has no correlation
+            found[k] = [-1] * BUCKETS, [0.0] * TOPICS
+            continue
+        mean = rows.select(Summarizer.mean(F.col("shares"))).first()[0]
+        matrix = Correlation.corr(rows, "shares").first()[0].toArray()
+        # a term that no text has, or all have alike, correlates with none; sums differ in the last digits by their order
+        found[k] = term_topics(np.round(np.nan_to_num(matrix), 9), mean.toArray())
+    return found
 
 
 def _letter(k: int) -> str:
     return chr(ord("a") + k) if k >= 0 else ""
 
 
-def marks(words: Column, lang: Column, topics: dict[str | None, list[int]]) -> Column:
-    """A letter for each word that has a topic."""
-    tables = {k: F.split(F.lit(",".join(map(_letter, t))), ",") for k, t in topics.items()}
-    table = tables[None]
-    for k, t in tables.items():
-        table = F.when(lang == k, t).otherwise(table) if k is not None else table
+def _of_language(lang: Column, each: dict[str | None, Column]) -> Column:
+    out = each[None]
+    for k, x in each.items():
+        out = F.when(lang == k, x).otherwise(out) if k is not None else out
+    return out
+
+
+def marks(terms: Column, lang: Column, topics: Learned) -> Column:
+    """A letter for each word's term that has a topic."""
+    table = _of_language(lang, {k: F.split(F.lit(",".join(map(_letter, t))), ",") for k, (t, _) in topics.items()})
     # the struct's fields are computed once a text, and not once a word
-    both = F.transform(F.array(F.struct(words.alias("words"), table.alias("table"))), lambda x: F.transform(x["words"], lambda w: F.get(x["table"], _term(w))))
+    both = F.transform(F.array(F.struct(terms.alias("terms"), table.alias("table"))), lambda x: F.transform(x["terms"], lambda t: F.get(x["table"], t.cast("int"))))
     return F.array_join(F.get(both, 0), "")
 
 
-def topic(n_words: Column, marked: Column) -> Column:
-    """The most frequent topic of the words: '0', '1', ..., 'none', or 'empty'."""
-    votes = F.array(*(F.struct((F.length(marked) - F.length(F.replace(marked, F.lit(_letter(k))))).alias("n"), F.lit(-k).alias("k")) for k in range(TOPICS)))
-    most = F.array_max(votes)
-    return F.when(n_words == 0, "empty").when(most["n"] == 0, "none").otherwise((-most["k"]).cast("string"))
+def topic(n_words: Column, marked: Column, lang: Column, topics: Learned) -> Column:
+    """The topic that the words have most above its mean share, in standard deviations: '0', '1', ..., 'none', or 'empty'."""
+    share = _of_language(lang, {k: F.array(*map(F.lit, x)) for k, (_, x) in topics.items()})
+    votes = []
+    for k in range(TOPICS):
+        n = F.length(marked) - F.length(F.replace(marked, F.lit(_letter(k))))
+        above = (n - n_words * share[k]) / F.sqrt(F.greatest(share[k], F.lit(1e-12)))
+        votes.append(F.when(n > 0, F.struct(above.alias("above"), F.lit(-k).alias("k"))))
+    most = F.array_max(F.array(*votes))
+    return F.when(n_words == 0, "empty").when(most.isNull(), "none").otherwise((-most["k"]).cast("string"))
 
 
 def _with_sums(cells: DataFrame, name: str, weight: Column, parts: int) -> DataFrame:
@@ -214,7 +240,7 @@ MEASURES = ("tokens", "topic", "probability", "drawn")
 
 def helpers(docs: DataFrame) -> dict[str, str]:
     """The names of the columns that ``mix`` adds: ``__mix_tokens`` and so on, or longer ones where the table has those."""
-    return {k: unused(docs.columns, f"__mix_{k}") for k in (*MEASURES, "words", "place", "source", "lang", "t")}
+    return {k: unused(docs.columns, f"__mix_{k}") for k in (*MEASURES, "terms", "place", "source", "lang", "t")}
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, columns: list[str] | None = None) -> DataFrame:
@@ -225,11 +251,12 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     """
     name, columns = helpers(docs), docs.columns if columns is None else columns
     place = (F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text"), 11) / F.lit(float(1 << 53))).alias(name["place"])
-    split = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("lang").alias(name["lang"]), place, _words("text").alias(name["words"]))
-    words = F.col(name["words"])
-    marked = split.withColumn(name["tokens"], F.size(words).cast("long")).withColumn(name["t"], marks(words, F.col(name["lang"]), learned(docs)))
-    topics = topic(F.col(name["tokens"]), F.col(name["t"])).alias(name["topic"])
-    weighed = stored(marked.select(*(F.col(f"`{c}`") for c in columns), name["place"], name["tokens"], topics), "mix-weighed")
+    hashed = F.transform(_words("text"), lambda w: _term(w).cast("short")).alias(name["terms"])
+    split = stored(docs.select(*(F.col(f"`{c}`") for c in columns), F.col("lang").alias(name["lang"]), place, hashed), "mix-terms")
+    topics, lang = learned(split, name["lang"], name["terms"]), F.col(name["lang"])
+    marked = split.withColumn(name["tokens"], F.size(name["terms"]).cast("long")).withColumn(name["t"], marks(F.col(name["terms"]), lang, topics))
+    of = topic(F.col(name["tokens"]), F.col(name["t"]), lang, topics).alias(name["topic"])
+    weighed = marked.select(*(F.col(f"`{c}`") for c in columns), name["place"], name["tokens"], of)
     cells = stored(weighed.groupBy("source", "lang", F.col(name["topic"]).alias("topic")).agg(F.sum(name["tokens"]).alias("n")), "mix-totals")
     if targets is None:
         targets = {k: tempered(cells, k, p) for k, p in TEMPER.items()}

@@ -172,6 +172,22 @@ def test_topics_follow_words_not_length(spark):
     assert len(set(most.values())) == 6 and all(v.count(most[k]) >= 38 for k, v in of.items())
 
 
+def test_topics_are_learned_from_all_documents(docs):
+    """Plain counts over every text of a language, in another layout too; a sample of the texts gives other topics."""
+    rows = docs.select("doc_id", "lang", F.transform(mixing._words("text"), mixing._term).alias("t")).collect()
+    want = {}
+    for lang in {r.lang for r in rows}:
+        mine = [r for r in rows if r.lang == lang]
+        share = np.array([np.bincount(r.t, minlength=mixing.BUCKETS) / max(1, len(r.t)) for r in mine if r.t])
+        of, shares = mixing.term_topics(np.round(np.nan_to_num(np.corrcoef(share.T)), 9), share.mean(axis=0))
+        for r in mine:
+            n = np.bincount([of[t] for t in r.t if of[t] >= 0], minlength=mixing.TOPICS)
+            above = [(x - len(r.t) * p) / max(p, 1e-12) ** 0.5 if x else -np.inf for x, p in zip(n, shares, strict=True)]
+            want[r.doc_id] = "empty" if not r.t else str(int(np.argmax(above))) if n.any() else "none"
+    for frame in (docs, docs.repartition(7)):
+        assert {r.doc_id: r["__mix_topic"] for r in mixing.mix(frame).collect()} == want
+
+
 def test_mixing_edges(edge, empty):
     got = mixing.mix(edge)
     assert got.count() == edge.count() and mixing.sampled(edge).columns == edge.columns
