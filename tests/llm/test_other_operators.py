@@ -9,6 +9,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -372,6 +373,36 @@ def test_language_id_edges(edge, empty):
     assert language_id.identified(edge).schema == edge.schema
 
 
+def test_all_labelled_texts_train_the_model(spark):
+    """More texts a label than the sample of 500 had; each that is learned from counts, as does each of the fifth that calibrates."""
+    r = random.Random(8)
+    stems = {"de": "der und nicht Straße werden schön".split(), "en": "the and not street become lovely".split()}
+    rows = [(i, " ".join(r.choices(stems[k], k=8)) + f" {r.randrange(10**6)}", k) for i in range(2600) for k in [("de", "en")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(docs.repartition(5))
+    keys = {x.doc_id: x.key for x in docs.select("doc_id", F.xxhash64(F.lit(8), "doc_id", "text").alias("key")).collect()}
+    labelled = sorted((keys[i], text, lang) for i, text, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    learn, check = [x for x in labelled if x[0] % 5], [x for x in labelled if x[0] % 5 == 0]
+    bags = lambda part: list(language_id.bags_of(pa.array([x[1] for x in part])))
+    scores, bias = language_id.fit_bags(bags(learn), np.array([model.languages.index(x[2]) for x in learn]), 2)
+    assert np.array_equal(model.scores, scores.astype(np.float32)) and np.array_equal(model.bias, bias)
+    p = model.probabilities(pa.array([x[1] for x in check]))
+    right = p.max(axis=1)[p.argmax(axis=1) == [model.languages.index(x[2]) for x in check]]
+    assert model.threshold == pytest.approx(np.clip(np.quantile(right, language_id.REJECTED), 0.5, 0.6))
+
+
+def test_a_rare_language_survives_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SHARD", 150)
+    r = random.Random(9)
+    stems = {"de": "der und nicht Straße werden schön".split(), "en": "the and not street become lovely".split(), "fi": "ja ei katu tulla kaunis ylitse".split()}
+    rows = [(i, " ".join(r.choices(stems[k], k=8)), k) for i in range(1500) for k in ["fi" if i % 50 == 0 else ("de", "en")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language_id.identify(docs).collect()
+    assert all(x.lang_pred == rows[x.doc_id][2] for x in got)
+    model, other = language_id.train(docs), language_id.train(docs.repartition(7))
+    assert np.array_equal(model.scores, other.scores) and model.threshold == other.threshold
+
+
 def test_a_language_of_long_texts_is_learned(spark):
     r = random.Random(5)
     german, english = "der und nicht Straße werden schön über zwischen Häuser gegangen".split(), "the and not street become lovely above between houses walked".split()
