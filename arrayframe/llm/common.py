@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +71,55 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
     The session's limits hold for the batches: by default 10,000 rows and 64 MiB.
     """
     _ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
+
+
+def lean(run):
+    """``run``, after which its worker gives back the memory of the task: it stays for later tasks, and beside it others that wait."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        returning()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trimmed()
+
+    return task
+
+
+#: glibc's names of two of its limits, and bytes from which an array's memory goes back to the system when it is freed.
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD, _LARGE = -1, -3, 1 << 22
+
+
+def returning() -> None:
+    """Lets this process give freed memory back at once if it is large; elsewhere than with glibc nothing changes."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(_M_MMAP_THRESHOLD, _LARGE)
+        libc.mallopt(_M_TRIM_THRESHOLD, 2 * _LARGE)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
+def trimmed() -> None:
+    """Gives back what this process has freed, where its C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
+#: Rows and bytes (about) of a piece of a batch.
+PIECE_ROWS, PIECE_BYTES = 2000, 1 << 22
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` in smaller ones: results as wide as the texts are then held by the piece, here and in the JVM."""
+    for batch in batches:
+        rows = max(1, min(PIECE_ROWS, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 _shipped: set[str] = set()

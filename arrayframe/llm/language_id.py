@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import crc_remainder, in_batches, partitions_for, stored, unused
+from .common import crc_remainder, in_batches, partitions_for, pieces, stored, unused
 
 #: Texts and bytes of a shard (about), the least texts of a label that each shard gets if there are so many, and blocks of buckets in which scores are averaged.
 SHARD, SHARD_BYTES, FEW, BLOCKS = 4096, 1 << 24, 64, 64
@@ -297,7 +297,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def _accepting(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             p = model.probabilities(batch.column(batch.schema.get_field_index("text")))
             letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             yield batch.select(batch.schema.names[:-1]).filter(pa.array(letters & (p.max(axis=1) >= model.threshold)))

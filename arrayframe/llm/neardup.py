@@ -46,6 +46,8 @@ LARGE = 64
 PART = 512
 #: Nodes that a union-find holds before it hands on its forest, and counted edges up to which one task joins all forests.
 FOREST, ONE_TASK = 100_000, 10_000
+#: Bytes whose elements walk their permutations at once: they hold two bytes a slot.
+CHUNK_BYTES = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -120,7 +122,7 @@ def superminhash(el: np.ndarray, ptr: np.ndarray, slots: int = SLOTS) -> np.ndar
 def signatures(column: pa.Array, width: int) -> dict[str, np.ndarray]:
     out: dict[str, list] = {"n": [], "node": [], "node2": [], "bands": []}
     salt = tokens.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD)
-    for chunk in tokens.chunks(column, 1 << 19):
+    for chunk in tokens.chunks(column, CHUNK_BYTES):
         el, ptr = shingle_sets(chunk, width)
         sig = superminhash(el, ptr)
         bands = np.broadcast_to(salt, (len(sig), BANDS)).copy()

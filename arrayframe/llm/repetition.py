@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import in_batches
+from .common import in_batches, pieces
 
 #: Words that a repeat must have to count, the most per cent of the text's words that such repeats may cover, and the words and the per cent of the text at which one repeat is too long, and the words at which it is in any text.
 MIN_REPEAT, COVERED_PERCENT, LONG_WORDS, LONG_PERCENT, MOST_WORDS = 15, 15, 40, 10, 200
@@ -187,7 +187,7 @@ def repetition(docs: DataFrame, keys: list[str] | None = None, text: str = "text
 
 
 def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         got = measure(batch.column(batch.schema.get_field_index("text")))
         words = got["n_words"]
         base = (words < 10) | (100 * got["n_repeat_words"] > 20 * words)

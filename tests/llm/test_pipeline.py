@@ -1,4 +1,11 @@
+import gc
+import platform
+import resource
+from pathlib import Path
+
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as driver
@@ -71,3 +78,38 @@ def test_operators_leave_the_session_as_it_was(spark, small):
     before = spark.conf.get(key)
     corpus_pipeline.STAGES[1][1](spark, spark.read.parquet(f"{small}/documents.parquet"), small).count()
     assert spark.conf.get(key) == before
+
+
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="memory goes back by a call of glibc")
+def test_a_task_gives_its_memory_back():
+    from arrayframe.llm.common import lean
+
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize() / 1e6
+    pinned, full = [], []
+
+    def run(batches):
+        """Leaves its heap full of holes: what is kept above them keeps the C library from shrinking it."""
+        arrays = [np.ones(100_000, dtype=np.uint8) for _ in range(4000)]
+        pinned.extend(arrays[::100])
+        del arrays
+        gc.collect()
+        full.append(resident())
+        yield from batches
+
+    before = resident()
+    assert list(lean(run)(iter([]))) == [] and len(pinned) == 40
+    assert resident() < before + 100, (before, full, resident())
+
+
+def test_wide_results_come_in_pieces():
+    """A batch of 10,000 rows, and one of few long ones: every row, in batches of bounded rows and bytes."""
+    from arrayframe.llm import repetition
+    from arrayframe.llm.common import PIECE_BYTES, PIECE_ROWS
+
+    short = [f"{i} is a plain sentence with ten words and number {i * 7}" for i in range(10_000)]
+    long_ = [" ".join(f"w{i}x{j}" for j in range(60_000)) for i in range(20)]
+    for texts in (short, long_):
+        whole = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+        got = list(repetition._filtered(iter([whole])))
+        assert [x for b in got for x in b.column("text").to_pylist()] == texts
+        assert all(b.num_rows <= PIECE_ROWS and (b.num_rows == 1 or b.nbytes <= 1.2 * PIECE_BYTES) for b in got)
