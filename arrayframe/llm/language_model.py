@@ -503,11 +503,11 @@ def score_texts(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, text)."""
     buckets = partitions_for(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_remainder("doc_id", 5) != 1).alias("train"))
-    texts = stored(in_batches(keyed, _segments(segment), _ROW), "lm-segments")
+    texts = stored(in_batches(keyed, _segments(segment), _ROW, keeps=True), "lm-segments")
 
     def answered(run, *answers: DataFrame) -> DataFrame:
-        asked = in_batches(with_answers(*answers) if answers else texts, run, _ROW).repartitionById(buckets, "bucket")
-        out = stored(in_batches(asked, _answer, _ROW), "lm-answers")
+        asked = in_batches(with_answers(*answers) if answers else texts, run, _ROW, keeps=True).repartitionById(buckets, "bucket")
+        out = stored(in_batches(asked, _answer, _ROW, keeps=True), "lm-answers")
         del asked
         # the exchange's files are done with; Spark deletes them once nothing refers to them, as its last job still does
         out.limit(1).count()
@@ -527,7 +527,7 @@ def score_texts(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     root = root_of(total, distinct)
     triples = answered(_ask_triples(buckets), pairs)
     states = answered(_ask_states(root, buckets), pairs, triples)
-    scored = in_batches(with_answers(pairs, triples, states), _scored(root), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_part double, score_part double, n_root bigint")
+    scored = in_batches(with_answers(pairs, triples, states), _scored(root), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_part double, score_part double, n_root bigint", keeps=True)
     return scored.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),

@@ -196,4 +196,4 @@ def _extracted(shared):
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     shared = pages.sparkSession.sparkContext.broadcast(trained())
-    return in_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), _extracted(shared), "page_id bigint, url string, text string, n_chars bigint")
+    return in_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), _extracted(shared), "page_id bigint, url string, text string, n_chars bigint", keeps=True)

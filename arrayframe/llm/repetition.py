@@ -183,7 +183,7 @@ def repetition(docs: DataFrame, keys: list[str] | None = None, text: str = "text
     keys = ["doc_id"] if keys is None else keys
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys), *(f"{m} bigint" for m in MEASURES)])
     base, kept = verdict()
-    return in_batches(docs.select(*(F.col(f"`{k}`") for k in keys), F.col(text).alias("__text")), _measured, schema).withColumn("base_failed", base).withColumn("kept", kept)
+    return in_batches(docs.select(*(F.col(f"`{k}`") for k in keys), F.col(text).alias("__text")), _measured, schema, keeps=True).withColumn("base_failed", base).withColumn("kept", kept)
 
 
 def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

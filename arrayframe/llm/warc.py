@@ -205,13 +205,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     planned = joined.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
     sample = [bytes(r[0]) for r in pages.select(F.substring(text, 1, 20_000).cast("binary")).limit(SAMPLE_PAGES).collect()]
-    return stored(in_batches(planned, _written(folder, train_dictionary(sample)), "path string, records bigint"), "warc-manifest")
+    return stored(in_batches(planned, _written(folder, train_dictionary(sample)), "path string, records bigint", keeps=True), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """The records of the manifest's archives: a task for each archive, up to ``READERS`` tasks."""
     tasks = max(1, min(READERS, manifest.count()))
-    return in_batches(manifest.repartition(tasks), _read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return in_batches(manifest.repartition(tasks), _read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint", keeps=True)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
