@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import in_batches, partitions_for, stored, unused
+from .common import in_batches, partitions_for, sieve, sifted, stored, unused
 
 BANDS, ROWS = 40, 5
 SLOTS = BANDS * ROWS
@@ -324,14 +324,25 @@ def _contracted(now: DataFrame, name: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Of ``pairs`` (u, hub) those whose full sets have a similarity of 0.8 or more, as (u, v)."""
+def _texts_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(row_key, text) of the rows that stand for ``nodes`` and a few others: the texts of all others stay where they are."""
+    keys = stored(reps.select("node", "row_key").join(nodes.select("node"), "node", "left_semi").select("row_key"), "wanted-rows")
+    return sifted(docs.select("row_key", "text"), "row_key", sieve(keys, "row_key"))
+
+
+def _ends(pairs: DataFrame, u: str, v: str) -> DataFrame:
+    """(node) of all ends of ``pairs``."""
+    return pairs.select(F.explode(F.array(u, v)).alias("node")).distinct()
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Of ``pairs`` (u, hub), whose ends are ``nodes``, those whose full sets have a similarity of 0.8 or more, as (u, v)."""
     placed = pairs.select(F.col("u").alias("node"), "hub", F.lit(False).alias("is_hub"))
     blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
     placed = placed.join(blocks, "hub").select("node", "hub", F.pmod(F.xxhash64("node", "hub"), F.col("blocks")).cast("int").alias("block"), "is_hub")
     hubs = blocks.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_hub"))
     roles = placed.unionByName(hubs).join(reps.select("node", "row_key"), "node")
-    with_text = docs.select("row_key", "text").join(roles, "row_key")
+    with_text = _texts_of(nodes, reps, docs).join(roles, "row_key")
     n = partitions_for(docs.sparkSession)
     dealt = with_text.select("hub", "block", "is_hub", "node", "text").repartition(n, "hub", "block")
     return in_batches(dealt.sortWithinPartitions("hub", "block", F.desc("is_hub")), _verified(width), "u bigint, v bigint")
@@ -385,7 +396,7 @@ def _linked(signed: DataFrame, reps: DataFrame, keyed: DataFrame, width: int) ->
     hubs = ranked.groupBy("band", "bucket", "size").agg(F.max("rank").alias("rank")).select("band", "bucket", "size", F.col("rank.node").alias("hub"))
     starred = _with_bucket(shared, hubs).where("node <> hub")
     first = stored(starred.select(F.col("node").alias("u"), "hub").distinct(), "hub-pairs")
-    edges = stored(_similar(first, reps, keyed, width), "hub-links")
+    edges = stored(_similar(first, _ends(first, "u", "hub"), reps, keyed, width), "hub-links")
     comp = stored(connected(edges), "hub-components")
 
     # what one bucket still holds in several components is compared across them
@@ -406,7 +417,7 @@ def _linked(signed: DataFrame, reps: DataFrame, keyed: DataFrame, width: int) ->
     major = rows.select("group", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("js")).cast("int").alias("j"), F.lit(1).alias("side"))
     n = partitions_for(keyed.sparkSession)
     placed = minor.unionByName(major).join(reps.select("node", "row_key"), "node")
-    dealt = keyed.select("row_key", "text").join(placed, "row_key").select("group", "i", "j", "side", "node", "comp", "text").repartition(n, "group", "i", "j")
+    dealt = _texts_of(grouped, reps, keyed).join(placed, "row_key").select("group", "i", "j", "side", "node", "comp", "text").repartition(n, "group", "i", "j")
     far = in_batches(dealt.sortWithinPartitions("group", "i", "j", "side"), _crossed(width), "u bigint, v bigint")
 
     # small buckets: their pairs, but for those tested above or before
@@ -420,7 +431,7 @@ def _linked(signed: DataFrame, reps: DataFrame, keyed: DataFrame, width: int) ->
     degree = tested.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
     sided = tested.join(degree.select(F.col("node").alias("u"), F.col("d").alias("du")), "u").join(degree.select(F.col("node").alias("v"), F.col("d").alias("dv")), "v")
     swap = F.col("du") > F.col("dv")
-    rest = _similar(sided.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("hub")), reps, keyed, width)
+    rest = _similar(sided.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("hub")), _ends(tested, "u", "v"), reps, keyed, width)
     return stored(connected(comp.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(rest).unionByName(far)), "components")
 
 
@@ -434,7 +445,9 @@ def first_of_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     key = unused(docs.columns, "row_key")
     named = docs.withColumn(key, row_key())
     of = lambda which: kept.where(which).select(F.col("row_key").alias(key))
-    # rows that repeat doc_id and text are few, and they alone move to be told apart
-    once = named.join(of("n = 1"), key, "left_semi")
-    again = named.join(of("n > 1"), key, "left_semi").dropDuplicates([key])
-    return once.unionByName(again).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # rows that go, or repeat doc_id and text, alone move to be told apart; all others stay where they are
+    moving = sieve(stored(signed.select("row_key").join(kept.where("n = 1"), "row_key", "left_anti").distinct(), "moving-rows"), "row_key")
+    maybe = sifted(named, key, moving)
+    once = maybe.join(of("n = 1"), key, "left_semi")
+    again = maybe.join(of("n > 1"), key, "left_semi").dropDuplicates([key])
+    return sifted(named, key, moving, out=True).unionByName(once).unionByName(again).select(*(F.col(f"`{c}`") for c in docs.columns))

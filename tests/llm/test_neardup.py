@@ -4,6 +4,7 @@ import brute
 import numpy as np
 import pytest
 
+from arrayframe.llm import common
 from arrayframe.llm import neardup as N
 
 
@@ -98,3 +99,45 @@ def test_digests_that_share_a_name_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(N, "in_batches", lambda df, run, schema: signed if run is None else kept(df, run, schema))
     monkeypatch.setattr(N, "_linked", lambda signed, reps, keyed, width: spark.createDataFrame([], "node bigint, comp bigint"))
     assert {r.doc_id: r.component_id for r in N.components(frame, 2).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 9: 0}
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    executors = sc.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_texts_that_are_not_compared_stay_where_they_are(spark):
+    """Without broadcasts by size, as on large tables: 300 long texts, 3 near copies and a repeated row."""
+    r = random.Random(11)
+    texts = [" ".join(f"{r.getrandbits(48):x}" for _ in range(2000)) for _ in range(300)]
+    rows = [*enumerate(texts), *((400 + i, texts[i] + " end") for i in range(3)), (7, texts[7])]
+    docs = N.stored(spark.createDataFrame(rows, "doc_id bigint, text string"), "test-docs")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = N.first_of_groups(docs).collect()
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert sorted((x.doc_id, x.text) for x in got) == list(enumerate(texts))
+    assert moved < 0.5 * sum(len(t) for t in texts), moved
+
+
+@pytest.mark.parametrize("most", [1 << 16, 1])
+def test_sieve_loses_no_key(spark, monkeypatch, most):
+    """Full or not, it passes all its keys; what it holds back is surely no key; columns may have any name."""
+    monkeypatch.setattr(common, "SEGMENTS", most)
+    rows = spark.range(40_000).selectExpr("xxhash64(id) AS `row_key`", "id AS segment", "id AS words")
+    sieve = common.sieve(rows.where("segment % 10 = 0").select("row_key"), "row_key")
+    inside, outside = (common.sifted(rows, "row_key", sieve, out) for out in (False, True))
+    assert inside.columns == outside.columns == rows.columns
+    held, rest = ({x.segment for x in f.collect()} for f in (inside, outside))
+    assert held | rest == set(range(40_000)) and not held & rest
+    assert set(range(0, 40_000, 10)) <= held
+    assert most == 1 or len(held) < 4000 + 0.03 * 36_000
+    none = common.sieve(rows.where("segment < 0"), "row_key")
+    assert common.sifted(rows, "row_key", none).count() == 0 and common.sifted(rows, "row_key", none, out=True).count() == 40_000
