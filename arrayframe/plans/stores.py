@@ -171,8 +171,9 @@ def stream_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.steps import for_each_step, stream
 
     base = fresh(spark, "stream")
-    engines.write(ev1d(spark, sf_dir).select("step", "d0", "value"), f"{base}/in", order=("d0",))
-    source = stream(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, files_per_batch=4)
+    cells = ev1d(spark, sf_dir).select("step", "d0", "value")
+    engines.write(cells, f"{base}/in", order=("d0",))
+    source = stream(spark, f"{base}/in", cells.schema, bytes_per_batch=32 << 20)
 
     def run(batch: DataFrame, number: int) -> None:
         batch.groupBy("step").agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{base}/out/batch={number}")

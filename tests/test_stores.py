@@ -146,6 +146,35 @@ def test_stream_of_steps(spark, tmp_path):
     assert sorted(s for x in seen for s in x) == [0, 1, 2, 3] and all(len(x) == 1 for x in seen)
 
 
+def test_batches_of_a_stream_follow_bytes_not_steps(spark, tmp_path, monkeypatch):
+    from arrayframe.plans.registry import QUERIES
+    from arrayframe.streaming import steps
+
+    spark.range(48_000).selectExpr("id AS event_id", "id % 7 AS user_id", "CAST(id % 1013 AS DOUBLE) AS value").write.parquet(f"file://{tmp_path}/events.parquet")
+    batches = []
+
+    def counted(source, run, checkpoint):
+        return for_each_step(source, lambda f, b: (batches.append(b), run(f, b)), checkpoint)
+
+    monkeypatch.setattr(steps, "for_each_step", counted)
+    got = QUERIES["stream_steps"](spark, f"file://{tmp_path}")
+    assert sorted(tuple(r) for r in got.collect()) == [(s, 1000, float(sum(i % 1013 for i in range(1000 * s, 1000 * s + 1000)))) for s in range(48)]
+    assert len(batches) == 1  # 48 small files, a step each: twelve batches of four
+
+
+def test_byte_limit_of_a_stream(spark, tmp_path):
+    path, name = f"file://{tmp_path}/in", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    frame = cells(spark, 40, 50)
+    engines.write(frame, path, order=("d0",))
+    sizes = [f.stat().st_size for f in (tmp_path / "in").rglob("*.parquet")]
+    before, seen = spark.conf.get(name), []
+    source = stream(spark, path, frame.select("block_id", "d0", "v", "step").schema, bytes_per_batch=sum(sizes) // 4)
+    for_each_step(source, lambda f, b: seen.append(read_all(f)), f"file://{tmp_path}/state").awaitTermination()
+    assert sorted(row for batch in seen for row in batch) == read_all(frame) and 4 <= len(seen) <= 6
+    # folders are listed by a few tasks, not one each, and the caller's session keeps its setting
+    assert int(source.sparkSession.conf.get(name)) <= max(64, 2 * spark.sparkContext.defaultParallelism) and spark.conf.get(name) == before
+
+
 def test_codecs(spark):
     from arrayframe.operators import codecs
 
